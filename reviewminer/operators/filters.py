@@ -17,9 +17,12 @@ BROADCAST_IDS = 2_000_000
 ID_SALTS = 64
 
 
-def where(predicate: Column) -> Filter:
-    """Filter from any boolean column; the way to add filters of one's own."""
-    return lambda products: products.where(predicate)
+def where(predicate: Column | Callable[[], Column]) -> Filter:
+    """Filter from a boolean column, or from a function that makes one.
+
+    The way to add filters of one's own; a function needs no session yet.
+    """
+    return lambda products: products.where(predicate() if callable(predicate) else predicate)
 
 
 def accept_all() -> Filter:
@@ -27,12 +30,16 @@ def accept_all() -> Filter:
 
 
 def brand(name: str) -> Filter:
-    return where(F.col("brand") == F.lit(name))
+    return where(lambda: F.col("brand") == F.lit(name))
 
 
 def category(name: str) -> Filter:
     """Any element of any category path equals ``name``."""
-    return where(F.exists("categories", lambda path: F.coalesce(F.array_contains(path, name), F.lit(False))))
+
+    def in_path(path: Column) -> Column:
+        return F.coalesce(F.array_contains(path, name), F.lit(False))
+
+    return where(lambda: F.exists("categories", in_path))
 
 
 def price(low: float | None = None, high: float | None = None, missing_price: str = "zero") -> Filter:
@@ -42,17 +49,19 @@ def price(low: float | None = None, high: float | None = None, missing_price: st
     """
     if missing_price not in ("zero", "drop"):
         raise ValueError("missing_price is 'zero' or 'drop'")
-    value = F.col("price").cast("double")
-    predicate = F.lit(True)
-    if missing_price == "zero":
-        value = F.coalesce(value, F.lit(0.0))
-    else:
+
+    def in_range() -> Column:
+        value = F.col("price").cast("double")
+        if missing_price == "zero":
+            value = F.coalesce(value, F.lit(0.0))
         predicate = value.isNotNull()
-    if low is not None:
-        predicate = predicate & (value >= F.lit(float(low)))
-    if high is not None:
-        predicate = predicate & (value <= F.lit(float(high)))
-    return where(predicate)
+        if low is not None:
+            predicate = predicate & (value >= F.lit(float(low)))
+        if high is not None:
+            predicate = predicate & (value <= F.lit(float(high)))
+        return predicate
+
+    return where(in_range)
 
 
 def sample(fraction: float, seed: int) -> Filter:
@@ -62,9 +71,13 @@ def sample(fraction: float, seed: int) -> Filter:
 
 def sample_by_hash(fraction: float, seed: int, key: str = "asin") -> Filter:
     """Sample by key hash: the same rows whatever the partitioning."""
-    digest = F.md5(F.concat(F.col(key), F.lit(f":{seed}")))
-    bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
-    return where(bucket < F.lit(int(fraction * 2**32)))
+
+    def in_sample() -> Column:
+        digest = F.md5(F.concat(F.col(key), F.lit(f":{seed}")))
+        bucket = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+        return bucket < F.lit(int(fraction * 2**32))
+
+    return where(in_sample)
 
 
 def similar_to(asin: str) -> Filter:
@@ -73,8 +86,11 @@ def similar_to(asin: str) -> Filter:
     def listed(kind: str) -> Column:
         return F.coalesce(F.array_contains(F.col(f"related.{kind}"), asin), F.lit(False))
 
-    itself = F.coalesce(F.col("asin") == F.lit(asin), F.lit(False))
-    return where(F.col("related").isNotNull() & (itself | listed("also_bought") | listed("bought_together")))
+    def related() -> Column:
+        itself = F.coalesce(F.col("asin") == F.lit(asin), F.lit(False))
+        return F.col("related").isNotNull() & (itself | listed("also_bought") | listed("bought_together"))
+
+    return where(related)
 
 
 def chain(*filters: Filter) -> Filter:

@@ -72,7 +72,7 @@ def _histogram(words: Column) -> Column:
 
         return let(starts, measured)
 
-    return F.when(F.size(words) > 0, let(F.array_sort(words), runs))
+    return F.when(F.size(words) > 0, let(F.sort_array(words), runs))
 
 
 def review_terms(reviews: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
