@@ -163,12 +163,13 @@ near AS (
   SELECT a.feature AS f, b.feature AS g FROM items a JOIN items b
   ON a.feature <> b.feature AND list_cosine_similarity(a.v, b.v) > {VECTOR_THRESHOLD})"""
 MERGED = f"""
-SELECT cluster_id, arg_min(feature, {{'a': -n_reviews, 'b': feature}}) AS feature,
+SELECT assignment.cluster_id, arg_min(feature, {{'a': -n_reviews, 'b': feature}}) AS feature,
        arg_min(representative, best) AS representative, CAST(sum(n_reviews) AS BIGINT) AS n_reviews,
        CAST(sum(n_ngrams) AS BIGINT) AS n_ngrams, count(*) AS n_features
 FROM assignment JOIN clusters USING (feature) JOIN (
   SELECT feature, min({{'a': -cnt, 'b': w2, 'c': modifier, 'd': feature}}) AS best FROM stats GROUP BY feature
-) USING (feature) GROUP BY cluster_id"""
+
+) USING (feature) GROUP BY assignment.cluster_id"""
 
 ORACLES: dict[str, str] = {
     "filter_brand": f"WITH {PRODUCTS} {LISTED} WHERE brand = {quoted(BRAND)}",
@@ -199,7 +200,7 @@ ORACLES: dict[str, str] = {
     "review_terms": f"WITH {TERMS} SELECT review_id, term, tf FROM terms",
     "tfidf": f"WITH {SCORES} SELECT review_id, term, tf, tfidf FROM scores",
     "tfidf_top_terms": f"""WITH {SCORES} SELECT review_id, row_number() OVER w AS rank, term, tf, tfidf FROM scores
-        QUALIFY rank <= {TOP_TERMS} WINDOW w AS (PARTITION BY review_id ORDER BY tfidf DESC, term)""",
+        WINDOW w AS (PARTITION BY review_id ORDER BY tfidf DESC, term) QUALIFY rank <= {TOP_TERMS}""",
     "ngrams_adj_noun": f"WITH {NGRAMS} SELECT * FROM ngrams",
     "ngrams_adj_noun_all": f"WITH {MATCHES} SELECT {_NGRAM.format(feature='word')} FROM matched",
     "ngrams_compound_noun": f"""WITH {MATCHES} SELECT {_NGRAM.format(

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from contextlib import contextmanager
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,9 +14,13 @@ FILE = "source_file"
 Paths = str | Sequence[str]
 
 
-def _read(spark: SparkSession, path: Paths, schema: T.StructType, on_error: str) -> DataFrame:
+def _check(on_error: str) -> None:
     if on_error not in ("quarantine", "fail"):
         raise ValueError("on_error is 'quarantine' or 'fail'")
+
+
+def _read(spark: SparkSession, path: Paths, schema: T.StructType, on_error: str) -> DataFrame:
+    _check(on_error)
     reader = spark.read.option("allowSingleQuotes", True).option("allowUnquotedFieldNames", True)
     reader = reader.option("pathGlobFilter", "*.json")
     if on_error == "fail":
@@ -45,29 +48,28 @@ def read_reviews(spark: SparkSession, path: Paths, on_error: str = "quarantine")
     return _zero_defaults(df, REVIEW)
 
 
-@contextmanager
-def _case_sensitive(spark: SparkSession) -> Iterator[None]:
-    key = "spark.sql.caseSensitive"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "true")
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
-
-
 def read_products(spark: SparkSession, path: Paths, on_error: str = "quarantine") -> DataFrame:
-    """Product metadata; the sales rank is accepted in both of its spellings."""
-    ranks = PRODUCT["salesRank"].dataType
-    both = T.StructType([*PRODUCT.fields, T.StructField("SalesRank", ranks)])
-    with _case_sensitive(spark):
-        df = _read(spark, path, both, on_error)
-        rank = F.coalesce("salesRank", "SalesRank").alias("salesRank")
-        columns = [rank if f.name == "salesRank" else F.col(f.name) for f in PRODUCT.fields]
-        if on_error == "quarantine":
-            columns.append(F.col(CORRUPT))
-        df = df.select(*columns, F.col("_metadata.file_path").alias(FILE))
-    return _zero_defaults(df, PRODUCT)
+    """Product metadata; the sales rank is accepted in both of its spellings.
+
+    Column names do not tell cases apart, keys do: the second spelling is taken
+    from the line by itself, and only when a query asks for the rank.
+    """
+    _check(on_error)
+    options = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
+    other = T.StructType([T.StructField("SalesRank", PRODUCT["salesRank"].dataType)])
+    rank_only = F.from_json("value", other, options).getField("SalesRank")
+    if on_error == "fail":
+        record = F.from_json("value", PRODUCT, {**options, "mode": "FAILFAST"})
+        extra = []
+    else:
+        wide = T.StructType([*PRODUCT.fields, T.StructField(CORRUPT, T.StringType())])
+        record = F.from_json("value", wide, {**options, "columnNameOfCorruptRecord": CORRUPT})
+        extra = [F.col(f"record.{CORRUPT}")]
+    lines = spark.read.option("pathGlobFilter", "*.json").text(path).where(F.trim("value") != "")
+    parsed = lines.select("value", F.col("_metadata.file_path").alias(FILE), record.alias("record"))
+    rank = F.coalesce("record.salesRank", rank_only).alias("salesRank")
+    columns = [rank if f.name == "salesRank" else F.col(f"record.{f.name}") for f in PRODUCT.fields]
+    return _zero_defaults(parsed.select(*columns, *extra, FILE), PRODUCT)
 
 
 def good_records(df: DataFrame) -> DataFrame:
