@@ -1,7 +1,8 @@
 """Counting n-grams and clustering them by feature.
 
-A strategy maps the features to clusters: ``assignment(feature, cluster_id)``.
-None stands for the exact strategy, in which every feature is its own cluster.
+A strategy maps keys to clusters: ``assignment(key, cluster_id)``, where the key
+is the ``feature`` of an n-gram or its first window word ``w2``. None stands for
+the exact strategy, in which every feature is its own cluster.
 """
 
 from __future__ import annotations
@@ -20,8 +21,8 @@ from .skew import join_hot_keys
 TOP = 25
 THRESHOLD = 0.95
 
-HOT_MODIFIERS = 200_000
-Strategy = Callable[[DataFrame, DataFrame, float], "DataFrame | None"]
+HOT_ROWS = 200_000
+Strategy = Callable[[DataFrame, float], "DataFrame | None"]
 
 
 def ngram_stats(ngrams: DataFrame) -> DataFrame:
@@ -36,15 +37,21 @@ def ngram_stats(ngrams: DataFrame) -> DataFrame:
     )
 
 
-def feature_totals(stats: DataFrame) -> DataFrame:
-    """One row per feature with its counts and its most frequent n-gram."""
-    return stats.groupBy("feature").agg(
+def key_totals(stats: DataFrame, *keys: str) -> DataFrame:
+    """One row per key with its counts and its most frequent n-gram."""
+    return stats.groupBy(*keys).agg(
         F.sum("cnt").alias("n_reviews"),
         F.count(F.lit(1)).alias("n_ngrams"),
         F.min(F.struct((-F.col("cnt")).alias("neg"), "w2", "modifier", "feature")).alias("best"),
     )
 
 
+def cluster_key(assignment: DataFrame | None) -> str:
+    if assignment is None:
+        return "feature"
+    return next(c for c in assignment.columns if c != "cluster_id")
+
+
 def build_clusters(
     stats: DataFrame, assignment: DataFrame | None = None, drop_singletons: bool = False
 ) -> DataFrame:
@@ -53,24 +60,13 @@ def build_clusters(
     ``feature`` is the most frequent feature; ties go to the smaller string.
     ``drop_singletons`` removes n-grams without any partner.
     """
-    totals = feature_totals(stats)
     if assignment is None:
-        merged = totals.select(
+        merged = key_totals(stats, "feature").select(
             F.col("feature").alias("cluster_id"), "feature", "best", "n_reviews", "n_ngrams",
             F.lit(1).cast("long").alias("n_features"),
         )
     else:
-        merged = (
-            totals.join(assignment, "feature")
-            .groupBy("cluster_id")
-            .agg(
-                F.min(F.struct((-F.col("n_reviews")).alias("neg"), "feature")).getField("feature").alias("feature"),
-                F.min("best").alias("best"),
-                F.sum("n_reviews").alias("n_reviews"),
-                F.sum("n_ngrams").alias("n_ngrams"),
-                F.count(F.lit(1)).alias("n_features"),
-            )
-        )
+        merged = _merged(stats, assignment)
     if drop_singletons:
         merged = merged.where("n_ngrams > 1")
     return merged.select(
@@ -83,6 +79,22 @@ def build_clusters(
     )
 
 
+def _merged(stats: DataFrame, assignment: DataFrame) -> DataFrame:
+    key = cluster_key(assignment)
+    per_feature = _assigned(key_totals(stats, *dict.fromkeys((key, "feature"))), assignment)
+    if key != "feature":  # a feature may reach a cluster under several keys
+        per_feature = per_feature.groupBy("cluster_id", "feature").agg(
+            F.sum("n_reviews").alias("n_reviews"), F.sum("n_ngrams").alias("n_ngrams"), F.min("best").alias("best")
+        )
+    return per_feature.groupBy("cluster_id").agg(
+        F.min(F.struct((-F.col("n_reviews")).alias("neg"), "feature")).getField("feature").alias("feature"),
+        F.min("best").alias("best"),
+        F.sum("n_reviews").alias("n_reviews"),
+        F.sum("n_ngrams").alias("n_ngrams"),
+        F.count(F.lit(1)).alias("n_features"),
+    )
+
+
 def top_clusters(clusters: DataFrame, k: int = TOP, by: str = "n_reviews") -> DataFrame:
     """The ``k`` largest clusters with their rank (the window sees k rows)."""
     best = clusters.orderBy(F.desc(by), "feature").limit(k)
@@ -96,10 +108,10 @@ def cluster_members(stats: DataFrame, assignment: DataFrame | None = None) -> Da
 
 def modifier_histogram(stats: DataFrame, assignment: DataFrame | None = None) -> DataFrame:
     """(cluster_id, modifier, n_windows, n_reviews): distinct windows and reviews."""
-    per_feature = stats.groupBy("feature", "modifier").agg(
+    per_key = stats.groupBy(cluster_key(assignment), "modifier").agg(
         F.count(F.lit(1)).alias("n_windows"), F.sum("cnt").alias("n_reviews")
     )
-    per_cluster = _assigned(per_feature, assignment)
+    per_cluster = _assigned(per_key, assignment)
     if assignment is None:
         return per_cluster.select("cluster_id", "modifier", "n_windows", "n_reviews")
     return per_cluster.groupBy("cluster_id", "modifier").agg(
@@ -108,34 +120,43 @@ def modifier_histogram(stats: DataFrame, assignment: DataFrame | None = None) ->
 
 
 def _assigned(rows: DataFrame, assignment: DataFrame | None) -> DataFrame:
+    """Add ``cluster_id``; a key with very many rows is split over several tasks."""
+    key = cluster_key(assignment)
     if assignment is None:
-        return rows.withColumn("cluster_id", F.col("feature"))
-    weights = rows.groupBy("feature").agg(F.count(F.lit(1)).alias("__n"))
-    keyed = assignment.join(weights, "feature")
-    return join_hot_keys(rows, keyed, "feature", "__n", HOT_MODIFIERS).drop("__n")
+        return rows.withColumn("cluster_id", F.col(key))
+    weights = rows.groupBy(key).agg(F.count(F.lit(1)).alias("__n"))
+    keyed = assignment.join(weights, key)
+    return join_hot_keys(rows, keyed, key, "__n", HOT_ROWS).drop("__n")
 
 
-def exact(features: DataFrame, vectors: DataFrame, threshold: float) -> None:
+def exact(items: DataFrame, threshold: float) -> None:
     """Same feature string, same cluster; needs neither vectors nor a join."""
     return None
 
 
-def similarity(features: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Greedy: a feature joins the most frequent similar leader, else leads."""
-    items = features.select(F.col("feature").alias("id"), F.col("n_reviews").alias("priority"))
-    found = leader_clusters(_with_vectors(items, vectors), threshold)
-    return found.select(F.col("id").alias("feature"), F.col("leader").alias("cluster_id"))
+def similarity(items: DataFrame, threshold: float) -> DataFrame:
+    """Greedy: an item joins the most frequent similar leader, else leads."""
+    return leader_clusters(items, threshold).select("id", F.col("leader").alias("cluster_id"))
+
 
+def allpairs(items: DataFrame, threshold: float) -> DataFrame:
+    """Connected components of the graph of all similar pairs."""
+    found = components(connectivity_edges(items.select("id", "vector"), threshold), items.select("id"))
+    return found.select("id", F.col("component").alias("cluster_id"))
 
-def allpairs(features: DataFrame, vectors: DataFrame, threshold: float) -> DataFrame:
-    """Connected components of the graph of all similar feature pairs."""
-    items = _with_vectors(features.select(F.col("feature").alias("id")), vectors)
-    found = components(connectivity_edges(items, threshold), items.select("id"))
-    return found.select(F.col("id").alias("feature"), F.col("component").alias("cluster_id"))
 
+STRATEGIES: dict[str, Strategy] = {"exact": exact, "similarity": similarity, "allpairs": allpairs}
 
-def _with_vectors(items: DataFrame, vectors: DataFrame) -> DataFrame:
-    return items.join(vectors.select(F.col("feature").alias("id"), "vector"), "id", "left")
 
+def assign(
+    stats: DataFrame, vectors: DataFrame | None, threshold: float, algorithm: str, key: str = "feature"
+) -> DataFrame | None:
+    """Run a strategy over the distinct keys: items(id, priority, vector).
 
-STRATEGIES: dict[str, Strategy] = {"exact": exact, "similarity": similarity, "allpairs": allpairs}
+    ``vectors(key, vector)`` may lack keys; those stay alone.
+    """
+    if algorithm == "exact":
+        return None
+    counts = stats.groupBy(F.col(key).alias("id")).agg(F.sum("cnt").alias("priority"))
+    items = counts.join(vectors.select(F.col(key).alias("id"), "vector"), "id", "left")
+    return STRATEGIES[algorithm](items, threshold).withColumnRenamed("id", key)

@@ -46,8 +46,8 @@ def synonyms(model: Word2VecModel, word: str, k: int = SYNONYMS) -> DataFrame:
     return model.findSynonyms(word, k)
 
 
-def feature_vectors(features: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(feature, vector): a feature of several words gets the mean of theirs."""
-    words = features.select("feature", F.explode(F.split("feature", " ")).alias("word"))
-    found = words.join(vectors, "word").select("feature", array_to_vector("vector").alias("v"))
-    return found.groupBy("feature").agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("vector"))
+def phrase_vectors(phrases: DataFrame, vectors: DataFrame, key: str = "feature") -> DataFrame:
+    """(key, vector): a phrase of several words gets the mean of their vectors."""
+    words = phrases.select(key, F.explode(F.split(key, " ")).alias("word"))
+    found = words.join(vectors, "word").select(key, array_to_vector("vector").alias("v"))
+    return found.groupBy(key).agg(vector_to_array(Summarizer.mean(F.col("v"))).alias("vector"))

@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 from ..session import durable
 from .similarity import has_direction, unit
 
-BATCH = 1024
+BATCH = 4096
 
 
 def _pick_leaders(vectors: np.ndarray, threshold: float) -> np.ndarray:

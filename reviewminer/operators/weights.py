@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .clusters import TOP, modifier_histogram
+from .clusters import TOP, cluster_key, modifier_histogram
 
 # Penalty and the smallest number of windows of a modifier.
 REG_PARAM = 0.05
@@ -40,12 +40,13 @@ def _sums_by_modifier(
         return hist.join(sums, "modifier")
     if scope != "same_feature":
         raise ValueError("scope is 'any_feature' or 'same_feature'")
-    per_feature = stats.groupBy("feature", "modifier").agg(F.sum("cnt").alias("n_j"), F.sum("sum_y").alias("s_j"))
+    key = cluster_key(assignment)
+    per_key = stats.groupBy(key, "modifier").agg(F.sum("cnt").alias("n_j"), F.sum("sum_y").alias("s_j"))
     if assignment is None:
-        sums = per_feature.withColumnRenamed("feature", "cluster_id")
+        sums = per_key.withColumnRenamed(key, "cluster_id")
     else:
         sums = (
-            per_feature.join(assignment, "feature")
+            per_key.join(assignment, key)
             .groupBy("cluster_id", "modifier")
             .agg(F.sum("n_j").alias("n_j"), F.sum("s_j").alias("s_j"))
         )

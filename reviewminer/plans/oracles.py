@@ -155,21 +155,37 @@ KEPT = f"{VECTORS}, kept AS (SELECT min(id) AS id, v FROM vectors GROUP BY v)"
 PAIRS = f"""{KEPT}, pairs AS (
   SELECT a.id AS id_a, b.id AS id_b, list_cosine_similarity(a.v, b.v) AS cosine FROM kept a JOIN kept b ON a.id < b.id
   WHERE list_cosine_similarity(a.v, b.v) > {VECTOR_THRESHOLD})"""
-FEATURES = f"""{EXACT}, {VECTORS},
+
+
+def keyed_items(key: str) -> str:
+    """Distinct keys with their counts and vectors, and the similar pairs."""
+    return f"""{EXACT}, {VECTORS},
+keys AS (SELECT {key} AS key, CAST(sum(cnt) AS BIGINT) AS n FROM stats GROUP BY {key}),
 items AS (
-  SELECT feature, n_reviews, v FROM clusters JOIN vectors
-  ON id = CAST('0x' || left(md5(feature), 8) AS BIGINT) % (SELECT count(*) FROM embeddings)),
+  SELECT key, n, v FROM keys JOIN vectors
+  ON id = CAST('0x' || left(md5(key), 8) AS BIGINT) % (SELECT count(*) FROM embeddings)),
 near AS (
-  SELECT a.feature AS f, b.feature AS g FROM items a JOIN items b
-  ON a.feature <> b.feature AND list_cosine_similarity(a.v, b.v) > {VECTOR_THRESHOLD})"""
-MERGED = f"""
-SELECT assignment.cluster_id, arg_min(feature, {{'a': -n_reviews, 'b': feature}}) AS feature,
-       arg_min(representative, best) AS representative, CAST(sum(n_reviews) AS BIGINT) AS n_reviews,
-       CAST(sum(n_ngrams) AS BIGINT) AS n_ngrams, count(*) AS n_features
-FROM assignment JOIN clusters USING (feature) JOIN (
-  SELECT feature, min({{'a': -cnt, 'b': w2, 'c': modifier, 'd': feature}}) AS best FROM stats GROUP BY feature
+  SELECT a.key AS f, b.key AS g FROM items a JOIN items b
+  ON a.key <> b.key AND list_cosine_similarity(a.v, b.v) > {VECTOR_THRESHOLD})"""
+
+
+def merged(key: str) -> str:
+    """Cluster rows from assignment(key, cluster_id)."""
+    return f"""
+SELECT cluster_id, arg_min(feature, {{'a': -n, 'b': feature}}) AS feature, arg_min(best.t, best.o) AS representative,
+       CAST(sum(n) AS BIGINT) AS n_reviews, CAST(sum(m) AS BIGINT) AS n_ngrams, count(*) AS n_features
+FROM (
+  SELECT cluster_id, feature, sum(cnt) AS n, count(*) AS m,
+         min({{'o': {{'a': -cnt, 'b': w2, 'c': modifier, 'd': feature}}, 't': w2 || ' ' || modifier || ' ' || feature}}) AS best
+  FROM stats JOIN assignment ON {key} = key GROUP BY cluster_id, feature) GROUP BY cluster_id"""
+
+
+def allpairs(key: str) -> str:
+    return f"""WITH RECURSIVE {keyed_items(key)},
+        reach AS (SELECT key AS f, key AS root FROM items
+                  UNION SELECT n.g, r.root FROM reach r JOIN near n ON r.f = n.f),
+        assignment AS (SELECT f AS key, min(root) AS cluster_id FROM reach GROUP BY f) {merged(key)}"""
 
-) USING (feature) GROUP BY assignment.cluster_id"""
 
 ORACLES: dict[str, str] = {
     "filter_brand": f"WITH {PRODUCTS} {LISTED} WHERE brand = {quoted(BRAND)}",
@@ -211,15 +227,13 @@ ORACLES: dict[str, str] = {
     "ngram_counts": f"WITH {NGRAMS} SELECT w2, modifier, feature, count(*) AS cnt FROM ngrams GROUP BY ALL",
     "clusters_exact": f"WITH {EXACT} SELECT * FROM clusters",
     "clusters_top": f"WITH {TOP_CLUSTERS} SELECT rank, feature, representative, n_reviews, n_ngrams FROM top",
-    "clusters_allpairs": f"""WITH RECURSIVE {FEATURES},
-        reach AS (SELECT feature AS f, feature AS root FROM items
-                  UNION SELECT n.g, r.root FROM reach r JOIN near n ON r.f = n.f),
-        assignment AS (SELECT f AS feature, min(root) AS cluster_id FROM reach GROUP BY f) {MERGED}""",
-    "clusters_similarity": f"""WITH RECURSIVE {FEATURES},
-        queue AS (SELECT row_number() OVER (ORDER BY n_reviews DESC, feature) AS k, feature FROM items),
+    "clusters_allpairs": allpairs("feature"),
+    "clusters_allpairs_first": allpairs("w2"),
+    "clusters_similarity": f"""WITH RECURSIVE {keyed_items("feature")},
+        queue AS (SELECT row_number() OVER (ORDER BY n DESC, key) AS k, key FROM items),
         adjacent AS (
-          SELECT q.k, q.feature, coalesce(list(p.k ORDER BY p.k) FILTER (p.k < q.k), []) AS before
-          FROM queue q LEFT JOIN near n ON n.f = q.feature LEFT JOIN queue p ON p.feature = n.g GROUP BY ALL),
+          SELECT q.k, q.key, coalesce(list(p.k ORDER BY p.k) FILTER (p.k < q.k), []) AS before
+          FROM queue q LEFT JOIN near n ON n.f = q.key LEFT JOIN queue p ON p.key = n.g GROUP BY ALL),
         walk AS (
           SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS leaders, CAST(NULL AS BIGINT) AS leader
           UNION ALL
@@ -227,8 +241,8 @@ ORACLES: dict[str, str] = {
                  coalesce(list_min(list_intersect(a.before, w.leaders)), a.k)
           FROM walk w JOIN adjacent a ON a.k = w.k + 1),
         assignment AS (
-          SELECT q.feature, l.feature AS cluster_id FROM walk JOIN queue q ON q.k = walk.k JOIN queue l ON l.k = walk.leader)
-        {MERGED}""",
+          SELECT q.key, l.key AS cluster_id FROM walk JOIN queue q ON q.k = walk.k JOIN queue l ON l.k = walk.leader)
+        {merged("feature")}""",
     "cluster_members": f"WITH {STATS} SELECT feature AS cluster_id, w2, modifier, feature, cnt FROM stats",
     "cluster_report": f"""WITH {TOP_CLUSTERS}
         SELECT rank, CAST(0 AS BIGINT) AS line, representative || ': ' || n_reviews || ' | Feature: ' || feature AS text FROM top

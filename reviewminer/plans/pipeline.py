@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.tagging import DEFAULT_TAGGER, RuleTagger
 from ..functions.wordlists import STOPWORDS
 from ..operators import clusters as C
-from ..operators.embeddings import feature_vectors, train, word_vectors
+from ..operators.embeddings import phrase_vectors, train, word_vectors
 from ..operators.filters import Filter, product_ids, reviews_of_products
 from ..operators.templates import ADJECTIVE_NOUN, Template, extract_ngrams
 from ..operators.tokens import word_lists
@@ -71,6 +71,7 @@ def mine(
     products: DataFrame | None = None,
     product_filter: Filter | None = None,
     algorithm: str = "exact",
+    vector_of: str = "feature",
     vectors: DataFrame | None = None,
     threshold: float = C.THRESHOLD,
     template: Template = ADJECTIVE_NOUN,
@@ -86,9 +87,10 @@ def mine(
 ) -> Mined:
     """Mine features from reviews(review_id, asin, reviewText[, overall]).
 
-    ``products`` with ``product_filter`` narrows the reviews. ``vectors`` are
-    (feature, vector); if a strategy needs them and none are given, Word2Vec is
-    trained on the reviews.
+    ``products`` with ``product_filter`` narrows the reviews. Strategies other
+    than ``exact`` cluster by the vector of the feature or, with
+    ``vector_of="first"``, of the first window word. ``vectors`` holds (feature
+    or w2, vector); if none are given, Word2Vec is trained on the reviews.
     """
     if not template.first_only:
         raise ValueError("the weights need at most one n-gram per review")
@@ -101,13 +103,11 @@ def mine(
         reviews = reviews.repartition(partitions)
     ngrams = rated_ngrams(reviews, rated, template, tagger, stopwords)
     stats = C.ngram_stats(ngrams).persist(StorageLevel.MEMORY_AND_DISK)
-    assignment = None
-    if algorithm != "exact":
-        features = C.feature_totals(stats).select("feature", "n_reviews")
-        if vectors is None:
-            model = train(word_lists(reviews, stopwords), partitions=partitions or 1)
-            vectors = feature_vectors(features, word_vectors(model))
-        assignment = C.STRATEGIES[algorithm](features, vectors, threshold)
+    key = {"feature": "feature", "first": "w2"}[vector_of]
+    if algorithm != "exact" and vectors is None:
+        model = train(word_lists(reviews, stopwords), partitions=partitions or 1)
+        vectors = phrase_vectors(stats.select(key).distinct(), word_vectors(model), key)
+    assignment = C.assign(stats, vectors, threshold, algorithm, key)
     clusters = C.build_clusters(stats, assignment, drop_singletons)
     top = C.top_clusters(clusters, top_k, rank_by)
     weights = modifier_weights(

@@ -144,16 +144,12 @@ def _mined(spark: SparkSession, d: str, **options) -> pipeline.Mined:
     return pipeline.mine(tables.review_texts(spark, d), rated=tables.ratings(spark, d), **options)
 
 
-def _feature_vectors(spark: SparkSession, d: str) -> Callable[[DataFrame], DataFrame]:
-    """Give every feature one of the given vectors, chosen by its own hash."""
+def _hashed_vectors(spark: SparkSession, d: str, words: DataFrame) -> DataFrame:
+    """Give every word one of the given vectors, chosen by its own hash."""
     given = tables.vectors(spark, d)
-    n = given.count()
-
-    def assign(features: DataFrame) -> DataFrame:
-        slot = F.conv(F.substring(F.md5("feature"), 1, 8), 16, 10).cast("long") % n
-        return features.select("feature", slot.alias("id")).join(given, "id").select("feature", "vector")
-
-    return assign
+    key = words.columns[0]
+    slot = F.conv(F.substring(F.md5(key), 1, 8), 16, 10).cast("long") % given.count()
+    return words.select(key, slot.alias("id")).join(given, "id").select(key, "vector")
 
 
 def _clusters(mined: pipeline.Mined) -> DataFrame:
@@ -171,13 +167,12 @@ def clusters_top(spark: SparkSession, d: str) -> DataFrame:
     return top.select(*_long("rank"), "feature", "representative", *_long("n_reviews", "n_ngrams"))
 
 
-def _vector_clusters(algorithm: str) -> Query:
+def _vector_clusters(algorithm: str, key: str = "feature") -> Query:
     def run(spark: SparkSession, d: str) -> DataFrame:
         ngrams = pipeline.rated_ngrams(tables.review_texts(spark, d), tables.ratings(spark, d))
         stats = clusters.ngram_stats(ngrams).persist()
-        features = clusters.feature_totals(stats).select("feature", "n_reviews")
-        vectors = _feature_vectors(spark, d)(features)
-        assignment = clusters.STRATEGIES[algorithm](features, vectors, VECTOR_THRESHOLD)
+        vectors = _hashed_vectors(spark, d, stats.select(key).distinct())
+        assignment = clusters.assign(stats, vectors, VECTOR_THRESHOLD, algorithm, key)
         found = clusters.build_clusters(stats, assignment)
         return found.select("cluster_id", "feature", "representative", *_long("n_reviews", "n_ngrams", "n_features"))
 
@@ -287,6 +282,7 @@ QUERIES: dict[str, Query] = {
     "clusters_top": clusters_top,
     "clusters_similarity": _vector_clusters("similarity"),
     "clusters_allpairs": _vector_clusters("allpairs"),
+    "clusters_allpairs_first": _vector_clusters("allpairs", "w2"),
     "cluster_members": cluster_members,
     "cluster_report": cluster_report,
     "modifier_histogram": modifier_histogram,
