@@ -11,23 +11,28 @@ from pyspark.sql import types as T
 from ..schemas import CORRUPT, PRODUCT, REVIEW, ZERO_DEFAULTS
 
 FILE = "source_file"
+LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
 Paths = str | Sequence[str]
 
 
-def _check(on_error: str) -> None:
+def _records(spark: SparkSession, path: Paths, schema: T.StructType, on_error: str) -> DataFrame:
+    """(value, source_file, fields..., [_corrupt_record]) of the lines.
+
+    Every line is parsed once and whole: the generator keeps later filters from
+    duplicating the parser, and whether a line is corrupt does not depend on
+    the columns a query happens to use.
+    """
     if on_error not in ("quarantine", "fail"):
         raise ValueError("on_error is 'quarantine' or 'fail'")
-
-
-def _read(spark: SparkSession, path: Paths, schema: T.StructType, on_error: str) -> DataFrame:
-    _check(on_error)
-    reader = spark.read.option("allowSingleQuotes", True).option("allowUnquotedFieldNames", True)
-    reader = reader.option("pathGlobFilter", "*.json")
+    options = dict(LENIENT)
     if on_error == "fail":
-        return reader.option("mode", "FAILFAST").schema(schema).json(path)
-    wide = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
-    reader = reader.option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", CORRUPT)
-    return reader.schema(wide).json(path)
+        options["mode"] = "FAILFAST"
+    else:
+        schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
+        options["columnNameOfCorruptRecord"] = CORRUPT
+    lines = spark.read.option("pathGlobFilter", "*.json").text(path).where(F.trim("value") != "")
+    record = F.from_json("value", schema, options)
+    return lines.select("value", F.col("_metadata.file_path").alias(FILE), F.inline(F.array(record)))
 
 
 def _zero_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
@@ -43,9 +48,10 @@ def read_reviews(spark: SparkSession, path: Paths, on_error: str = "quarantine")
     """Reviews of a file, a folder of ``*.json`` or several of them.
 
     ``source_file`` tells the files apart, so per-file work is a grouping.
+    ``review_id`` joins reviewer, product and time.
     """
-    df = _read(spark, path, REVIEW, on_error).withColumn(FILE, F.col("_metadata.file_path"))
-    return _zero_defaults(df, REVIEW)
+    df = _zero_defaults(_records(spark, path, REVIEW, on_error).drop("value"), REVIEW)
+    return df.withColumn("review_id", F.concat_ws(":", "reviewerID", "asin", "unixReviewTime"))
 
 
 def read_products(spark: SparkSession, path: Paths, on_error: str = "quarantine") -> DataFrame:
@@ -54,22 +60,11 @@ def read_products(spark: SparkSession, path: Paths, on_error: str = "quarantine"
     Column names do not tell cases apart, keys do: the second spelling is taken
     from the line by itself, and only when a query asks for the rank.
     """
-    _check(on_error)
-    options = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
     other = T.StructType([T.StructField("SalesRank", PRODUCT["salesRank"].dataType)])
-    rank_only = F.from_json("value", other, options).getField("SalesRank")
-    if on_error == "fail":
-        record = F.from_json("value", PRODUCT, {**options, "mode": "FAILFAST"})
-        extra = []
-    else:
-        wide = T.StructType([*PRODUCT.fields, T.StructField(CORRUPT, T.StringType())])
-        record = F.from_json("value", wide, {**options, "columnNameOfCorruptRecord": CORRUPT})
-        extra = [F.col(f"record.{CORRUPT}")]
-    lines = spark.read.option("pathGlobFilter", "*.json").text(path).where(F.trim("value") != "")
-    parsed = lines.select("value", F.col("_metadata.file_path").alias(FILE), record.alias("record"))
-    rank = F.coalesce("record.salesRank", rank_only).alias("salesRank")
-    columns = [rank if f.name == "salesRank" else F.col(f"record.{f.name}") for f in PRODUCT.fields]
-    return _zero_defaults(parsed.select(*columns, *extra, FILE), PRODUCT)
+    second = F.from_json("value", other, LENIENT).getField("SalesRank")
+    records = _records(spark, path, PRODUCT, on_error)
+    ranked = records.withColumn("salesRank", F.coalesce("salesRank", second)).drop("value")
+    return _zero_defaults(ranked, PRODUCT)
 
 
 def good_records(df: DataFrame) -> DataFrame:
