@@ -98,11 +98,9 @@ def extract_ngrams(
     stopwords: Iterable[str] = STOPWORDS,
 ) -> DataFrame:
     """ngrams(review_id, *keep, i, w2, modifier, feature, modifier_tag, feature_tag)."""
-    words = content_words(F.col("reviewText"), stopwords)
-    return (
-        reviews.where(F.col("reviewText").isNotNull())
-        .select("review_id", *keep, F.inline(matches(words, template, tagger)))
-    )
+    words = content_words(F.col("reviewText"), stopwords).alias("words")
+    lists = reviews.where(F.col("reviewText").isNotNull()).select("review_id", *keep, words)
+    return lists.select("review_id", *keep, F.inline(matches(F.col("words"), template, tagger)))
 
 
 def ngrams_of_tagged(tagged: DataFrame, template: Template = ADJECTIVE_NOUN) -> DataFrame:

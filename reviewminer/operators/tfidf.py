@@ -37,7 +37,11 @@ def score(reviews: DataFrame, index: Index, stopwords: Iterable[str] = STOPWORDS
     """
     n = max(index.n_docs, 1)
     hot = max(MIN_HOT, n // 100)
-    joined = join_hot_keys(review_terms(reviews, stopwords), index.frequencies, "term", "df", hot, "left")
+    terms = review_terms(reviews, stopwords)
+    if n < hot:  # no term can reach the limit
+        joined = terms.join(index.frequencies, "term", "left")
+    else:
+        joined = join_hot_keys(terms, index.frequencies, "term", "df", hot, "left")
     share = F.greatest(F.coalesce("df", F.lit(0)) / F.lit(float(n)), F.lit(1.0) / F.lit(float(n)))
     return joined.select("review_id", "term", "tf", (F.col("tf") / share).alias("tfidf"))
 

@@ -17,8 +17,13 @@ def _texts(reviews: DataFrame) -> DataFrame:
 
 
 def all_tokens(reviews: DataFrame) -> DataFrame:
-    """tokens(review_id, pos, word) before stop words go."""
-    return _texts(reviews).select("review_id", F.posexplode(tokens(F.col("reviewText"))).alias("pos", "word"))
+    """tokens(review_id, pos, word) before stop words go.
+
+    The token list is a projection of its own: generated code splits the text,
+    and the generator only has to unfold it. The same holds further down.
+    """
+    split = _texts(reviews).select("review_id", tokens(F.col("reviewText")).alias("words"))
+    return split.select("review_id", F.posexplode("words").alias("pos", "word"))
 
 
 def clean_tokens(reviews: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
@@ -30,11 +35,13 @@ def tagged_words(
     reviews: DataFrame, tagger: RuleTagger = DEFAULT_TAGGER, stopwords: Iterable[str] = STOPWORDS
 ) -> DataFrame:
     """tagged(review_id, pos, i, word, tag); ``i`` counts the remaining words."""
+    stop = tuple(stopwords)
     placed = F.transform(tokens(F.col("reviewText")), lambda w, p: F.struct(p.alias("pos"), w.alias("word")))
-    kept = F.filter(placed, lambda t: is_content(t["word"], stopwords))
+    kept = F.filter(placed, lambda t: is_content(t["word"], stop))
     return (
         _texts(reviews)
-        .select("review_id", F.posexplode(kept).alias("i", "t"))
+        .select("review_id", kept.alias("kept"))
+        .select("review_id", F.posexplode("kept").alias("i", "t"))
         .select("review_id", "t.pos", "i", "t.word", tagger.column(F.col("t.word")).alias("tag"))
     )
 
