@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.wordlists import STOPWORDS
 from .skew import join_hot_keys
-from .tokens import review_terms
+from .tokens import review_terms, word_lists
 
 MIN_HOT = 100_000
 
@@ -24,8 +24,9 @@ class Index:
 
 
 def build_index(reviews: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> Index:
-    """Document frequencies; a review's terms are already distinct."""
-    df = review_terms(reviews, stopwords).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    """Document frequencies: every review counts its distinct terms once."""
+    terms = word_lists(reviews, stopwords).select(F.explode(F.array_distinct("words")).alias("term"))
+    df = terms.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     return Index(df, reviews.where(F.col("reviewText").isNotNull()).count())
 
 
