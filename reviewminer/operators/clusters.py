@@ -12,6 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import durable
 from .graph import components
 from .leaders import leader_clusters
 from .similarity import connectivity_edges
@@ -141,7 +142,8 @@ def similarity(items: DataFrame, threshold: float) -> DataFrame:
 
 def allpairs(items: DataFrame, threshold: float) -> DataFrame:
     """Connected components of the graph of all similar pairs."""
-    found = components(connectivity_edges(items.select("id", "vector"), threshold), items.select("id"))
+    items = durable(items.select("id", "vector"))
+    found = components(connectivity_edges(items, threshold), items.select("id"))
     return found.select("id", F.col("component").alias("cluster_id"))
 
 

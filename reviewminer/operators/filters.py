@@ -110,19 +110,28 @@ def product_ids(products: DataFrame) -> DataFrame:
     return products.select("asin")
 
 
+def _distinct_ids(ids: DataFrame) -> DataFrame:
+    return ids.select("asin").where(F.col("asin").isNotNull()).distinct()
+
+
+def fits_broadcast(ids: DataFrame, limit: int = BROADCAST_IDS) -> bool:
+    """Count the id list, but never further than ``limit``."""
+    return _distinct_ids(ids).limit(limit + 1).count() <= limit
+
+
 def reviews_of_products(
-    reviews: DataFrame, ids: DataFrame | None, broadcast_limit: int = BROADCAST_IDS, salts: int = ID_SALTS
+    rows: DataFrame, ids: DataFrame | None, broadcast_limit: int = BROADCAST_IDS, salts: int = ID_SALTS
 ) -> DataFrame:
-    """Reviews whose product is listed; None keeps all, an empty list none.
+    """Rows (reviews or n-grams) whose product is listed; None keeps all, an
+    empty list none.
 
-    The id list is counted up to ``broadcast_limit``; beyond it both sides are
+    A short id list is broadcast; beyond ``broadcast_limit`` both sides are
     salted, so a product that owns a third of all reviews is spread out.
     """
     if ids is None:
-        return reviews
-    ids = ids.select("asin").where(F.col("asin").isNotNull()).distinct()
-    if ids.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        return reviews.join(F.broadcast(ids), "asin", "left_semi")
+        return rows
+    if fits_broadcast(ids, broadcast_limit):
+        return rows.join(F.broadcast(_distinct_ids(ids)), "asin", "left_semi")
     salt = F.pmod(F.xxhash64("review_id"), F.lit(salts)).cast("int")
-    copies = ids.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return reviews.withColumn("salt", salt).join(copies, ["asin", "salt"], "left_semi").drop("salt")
+    copies = _distinct_ids(ids).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return rows.withColumn("salt", salt).join(copies, ["asin", "salt"], "left_semi").drop("salt")

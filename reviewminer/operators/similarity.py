@@ -16,7 +16,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import durable
+from .skew import join_hot_keys
+
 BLOCK_ROWS = 2048
+HOT_COPIES = 200_000
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -43,18 +47,31 @@ def distinct_vectors(vectors: DataFrame) -> DataFrame:
     return vectors.groupBy("vector").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n_copies"))
 
 
-def vector_copies(vectors: DataFrame) -> DataFrame:
-    """(id, copy_of): every id that shares its vector with a smaller id."""
-    kept = distinct_vectors(vectors).where("n_copies > 1").select("vector", F.col("id").alias("copy_of"))
-    return vectors.join(kept, "vector").where("id <> copy_of").select("id", "copy_of")
+def vector_copies(vectors: DataFrame, kept: DataFrame | None = None) -> DataFrame:
+    """(id, copy_of): every id that shares its vector with a smaller id.
+
+    The copied vectors are the large side of a join whose other side has one
+    row per vector; a vector with very many copies is split.
+    """
+    kept = (distinct_vectors(vectors) if kept is None else kept).where("n_copies > 1")
+    firsts = kept.select("vector", F.col("id").alias("copy_of"), "n_copies")
+    return (
+        join_hot_keys(vectors.select("id", "vector"), firsts, "vector", "n_copies", HOT_COPIES)
+        .where("id <> copy_of")
+        .select("id", "copy_of")
+    )
 
 
-def _block_pairs(vectors: DataFrame, block_rows: int) -> DataFrame:
+def _kept(vectors: DataFrame) -> DataFrame:
+    """Distinct vectors with a direction, computed once."""
+    return durable(distinct_vectors(vectors.where(has_direction(F.col("vector")))))
+
+
+def _block_pairs(kept: DataFrame, block_rows: int) -> DataFrame:
     """Rows (bi, bj, b, id, vector): each vector once per pair of blocks it is in."""
-    usable = vectors.where(has_direction(F.col("vector")))
-    blocks = max(1, math.ceil(usable.count() / block_rows))
+    blocks = max(1, math.ceil(kept.count() / block_rows))
     block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    placed = usable.select("id", unit(F.col("vector")).alias("vector"), block.alias("b"))
+    placed = kept.select("id", unit(F.col("vector")).alias("vector"), block.alias("b"))
     return placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
         F.least("b", "k").alias("bi"), F.greatest("b", "k").alias("bj"), "b", "id", "vector"
     )
@@ -109,7 +126,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
     schema = T.StructType(
         [T.StructField("id_a", kind), T.StructField("id_b", kind), T.StructField("cosine", T.DoubleType())]
     )
-    pairs = _block_pairs(distinct_vectors(vectors), block_rows)
+    pairs = _block_pairs(_kept(vectors), block_rows)
     return pairs.groupBy("bi", "bj").applyInPandas(_pairs_above(threshold), schema)
 
 
@@ -148,10 +165,10 @@ def connectivity_edges(vectors: DataFrame, threshold: float, block_rows: int = B
     """
     kind = vectors.schema["id"].dataType
     schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
+    kept = _kept(vectors)
+    forest = _block_pairs(kept, block_rows).groupBy("bi", "bj").applyInPandas(_forest(threshold), schema)
     usable = vectors.where(has_direction(F.col("vector")))
-    pairs = _block_pairs(distinct_vectors(usable), block_rows)
-    forest = pairs.groupBy("bi", "bj").applyInPandas(_forest(threshold), schema)
-    copies = vector_copies(usable).select(F.col("id").alias("src"), F.col("copy_of").alias("dst"))
+    copies = vector_copies(usable, kept).select(F.col("id").alias("src"), F.col("copy_of").alias("dst"))
     return forest.unionByName(copies)
 
 

@@ -13,7 +13,7 @@ from ..functions.tagging import DEFAULT_TAGGER, RuleTagger
 from ..functions.wordlists import STOPWORDS
 from ..operators import clusters as C
 from ..operators.embeddings import phrase_vectors, train, word_vectors
-from ..operators.filters import Filter, product_ids, reviews_of_products
+from ..operators.filters import Filter, fits_broadcast, product_ids, reviews_of_products
 from ..operators.templates import ADJECTIVE_NOUN, Template, extract_ngrams
 from ..operators.tokens import word_lists
 from ..operators.weights import MIN_WINDOWS, REG_PARAM, modifier_weights, top_modifiers
@@ -57,11 +57,13 @@ def rated_ngrams(
     template: Template = ADJECTIVE_NOUN,
     tagger: RuleTagger = DEFAULT_TAGGER,
     stopwords: Iterable[str] = STOPWORDS,
+    ids: DataFrame | None = None,
 ) -> DataFrame:
-    """n-grams with ``overall``, taken from the reviews or joined afterwards."""
-    if rated is None:
-        return extract_ngrams(reviews, template, keep=("overall",), tagger=tagger, stopwords=stopwords)
-    return attach_ratings(extract_ngrams(reviews, template, tagger=tagger, stopwords=stopwords), rated)
+    """n-grams of the listed products with ``overall``, kept or joined afterwards."""
+    keep = [*(["asin"] if ids is not None else []), *(["overall"] if rated is None else [])]
+    ngrams = extract_ngrams(reviews, template, keep=keep, tagger=tagger, stopwords=stopwords)
+    ngrams = reviews_of_products(ngrams, ids)
+    return ngrams if rated is None else attach_ratings(ngrams, rated)
 
 
 def mine(
@@ -96,15 +98,20 @@ def mine(
         raise ValueError("the weights need at most one n-gram per review")
     if algorithm not in C.STRATEGIES:
         raise ValueError(f"algorithm is one of {sorted(C.STRATEGIES)}")
+    trains = algorithm != "exact" and vectors is None
+    late_ids = None
     if products is not None:
-        chosen = products.transform(product_filter) if product_filter else products
-        reviews = reviews_of_products(reviews, product_ids(chosen))
+        ids = product_ids(products.transform(product_filter) if product_filter else products)
+        if trains or fits_broadcast(ids):
+            reviews = reviews_of_products(reviews, ids)
+        else:  # too many to broadcast: join the n-grams instead of the texts
+            late_ids = ids
     if partitions:
         reviews = reviews.repartition(partitions)
-    ngrams = rated_ngrams(reviews, rated, template, tagger, stopwords)
+    ngrams = rated_ngrams(reviews, rated, template, tagger, stopwords, late_ids)
     stats = C.ngram_stats(ngrams).persist(StorageLevel.MEMORY_AND_DISK)
     key = {"feature": "feature", "first": "w2"}[vector_of]
-    if algorithm != "exact" and vectors is None:
+    if trains:
         model = train(word_lists(reviews, stopwords), partitions=partitions or 1)
         vectors = phrase_vectors(stats.select(key).distinct(), word_vectors(model), key)
     assignment = C.assign(stats, vectors, threshold, algorithm, key)

@@ -202,3 +202,17 @@ def test_vocabulary_too_large_for_the_driver(spark, monkeypatch):
     monkeypatch.setattr(embeddings, "MODEL_CELLS", 5)
     with pytest.raises(ValueError, match="min_count"):
         train(spark.createDataFrame([(["a", "b", "c"],)], "words array<string>"), size=3)
+
+
+def test_long_product_lists_are_joined_to_the_ngrams(spark, reviews_of, monkeypatch):
+    from reviewminer.operators import filters
+    from reviewminer.plans import pipeline
+
+    products = spark.createDataFrame([("0", "A"), ("1", "B"), ("2", "A")], "asin string, brand string")
+    monkeypatch.setattr(pipeline, "fits_broadcast", lambda ids: False)
+    monkeypatch.setattr(filters, "fits_broadcast", lambda ids, limit: False)
+    late = mine(reviews_of(TEXTS), products=products, product_filter=brand("A"), min_windows=1)
+    monkeypatch.undo()
+    early = mine(reviews_of(TEXTS), products=products, product_filter=brand("A"), min_windows=1)
+    assert late.stats.agg(F.sum("cnt")).first()[0] == 5
+    assert rows_of(late.weights, "rank", "modifier") == rows_of(early.weights, "rank", "modifier")

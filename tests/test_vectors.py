@@ -189,3 +189,9 @@ def test_transpose(spark):
     moved = {(r.row_id, r.col_id): r.value for r in s.transpose(entries).collect()}
     assert moved == {(0, 1): 5.0, (1, 1): 6.0, (0, 2): 7.0, (1, 2): 8.0}
     assert s.transpose(s.transpose(entries)).exceptAll(entries).count() == 0
+
+
+def test_copies_of_a_hot_vector_are_split(spark, monkeypatch):
+    data = [(i, [1.0, 2.0]) for i in range(50)] + [(i, [float(i), 1.0]) for i in range(50, 60)]
+    monkeypatch.setattr(s, "HOT_COPIES", 5)
+    assert {(r.id, r.copy_of) for r in s.vector_copies(table(spark, data)).collect()} == {(i, 0) for i in range(1, 50)}
