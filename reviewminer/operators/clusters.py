@@ -73,7 +73,7 @@ def build_clusters(
     return merged.select(
         "cluster_id",
         "feature",
-        F.concat_ws(" ", "best.w2", "best.modifier", "best.feature").alias("representative"),
+        F.ltrim(F.concat_ws(" ", "best.w2", "best.modifier", "best.feature")).alias("representative"),
         "n_reviews",
         "n_ngrams",
         "n_features",

@@ -22,7 +22,7 @@ from ..sources.tables import attach_ratings
 
 @dataclass(frozen=True)
 class Mined:
-    """Result tables; ``stats`` is cached, call ``close`` when done."""
+    """Result tables; ``stats``, ``top`` and ``weights`` are cached: ``close`` frees them."""
 
     stats: DataFrame
     clusters: DataFrame
@@ -48,7 +48,8 @@ class Mined:
         return heads.join(per_modifier, "rank", "left")
 
     def close(self) -> None:
-        self.stats.unpersist()
+        for table in (self.weights, self.top, self.stats):
+            table.unpersist()
 
 
 def rated_ngrams(
@@ -116,8 +117,8 @@ def mine(
         vectors = phrase_vectors(stats.select(key).distinct(), word_vectors(model), key)
     assignment = C.assign(stats, vectors, threshold, algorithm, key)
     clusters = C.build_clusters(stats, assignment, drop_singletons)
-    top = C.top_clusters(clusters, top_k, rank_by)
+    top = C.top_clusters(clusters, top_k, rank_by).persist(StorageLevel.MEMORY_AND_DISK)
     weights = modifier_weights(
         stats, top, assignment, min_windows=min_windows, scope=scope, reg_param=reg_param
-    )
+    ).persist(StorageLevel.MEMORY_AND_DISK)
     return Mined(stats, clusters, top, weights, assignment)

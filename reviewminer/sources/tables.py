@@ -15,11 +15,14 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame, key: str) -> DataFrame:
     """Redistribute an input that would keep fewer tasks busy than there are cores.
 
-    A large scan already yields more splits than cores and passes unchanged, so
-    only inputs of a few files are ever shuffled here.
+    A few small files may be cut into more splits than they have row groups, so
+    files count as well. A large scan yields many splits per core and passes
+    unchanged; only small inputs are ever shuffled here.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+    splits = df.rdd.getNumPartitions()
+    few = splits < cores or (splits <= 2 * cores and len(df.inputFiles()) < cores)
+    return df.repartition(cores, key) if few and cores > 1 else df
 
 
 def review_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
