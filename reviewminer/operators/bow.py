@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterable
 
 from pyspark.ml.feature import CountVectorizerModel
-from pyspark.ml.linalg import SparseVector, Vectors, VectorUDT
+from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +41,7 @@ def _joined_vectors(reviews: DataFrame, vocab: DataFrame, size: int, stopwords:
     )
 
     @F.udf(VectorUDT())
-    def sparse(found: list | None) -> SparseVector:
+    def sparse(found):
         found = found or []
         return Vectors.sparse(size, [c["pos"] for c in found], [float(c["tf"]) for c in found])
 
