@@ -30,7 +30,8 @@ def ordered(rows):
 
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"bow_regression", "word2vec_vectors", "word2vec_synonyms"}
+    without = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline"}
+    assert without == {"bow_regression", "word2vec_vectors", "word2vec_synonyms"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
