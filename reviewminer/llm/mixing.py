@@ -126,7 +126,8 @@ def mixed(docs: DataFrame, source: str = "source", copies: int = COPIES, seed: i
     several sources; source_size and target are those of the first.
     """
     own = F.col(source) if dict(docs.dtypes)[source].startswith("array") else F.array(source)
-    known = F.array_sort(F.array_distinct(F.transform(own, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))))
+    mine = F.col("__own")
+    known = F.array_sort(F.array_distinct(F.transform(mine, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))))
     rows = written(
         enough_tasks(docs.select("doc_id", "text", own.alias("__own"))).select(
             F.col("doc_id").cast("bigint").alias("doc_id"),

@@ -2,7 +2,7 @@
 
 LINES = """
 WITH lines AS (
-  SELECT doc_id, generate_subscripts(parts, 1) AS at, unnest(parts) AS line
+  SELECT doc_id, generate_subscripts(parts, 1) AS pos, unnest(parts) AS line
   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
 ), keyed AS (
   SELECT *, translate(
@@ -17,18 +17,18 @@ WITH lines AS (
   FROM keyed AS k LEFT JOIN repeated AS r ON k.key = r.key
 )
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_dropped,
-       sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (WHERE NOT gone), '')) AS kept_sha256
+       sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone), '')) AS kept_sha256
 FROM judged GROUP BY doc_id
 """
 
 TOP_SCORES = """
 WITH vectors AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
   FROM embeddings
-  WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
 ), scored AS (
   SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
-         CAST(list_sum(list_transform(list_zip(q.v, c.v), p -> p[1] * p[2])) AS BIGINT) AS score
+         CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
   FROM vectors AS q JOIN vectors AS c ON q.vec_id <> c.vec_id
   WHERE q.vec_id % 20 = 0
 ), ranked AS (
@@ -41,4 +41,5 @@ SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 
 ORACLES: dict[str, str] = {
     "op1_line_dedup": LINES,
+    "op4_exact_top": TOP_SCORES,
 }

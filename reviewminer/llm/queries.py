@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .bitsliced import exact_top
 from .linededup import drop_repeated_lines
 from .mixing import mixed
+from .multiindex import nearest_neighbours
 from .neardup import near_duplicates
 from .packing import packed
 from .sharding import sharded
@@ -18,6 +20,14 @@ def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest_neighbours(load(spark, sf_dir, "embeddings"))
+
+
+def op4_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_top(load(spark, sf_dir, "embeddings"))
+
+
 def op5_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(load(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -41,6 +51,8 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
+    "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op4_exact_top": op4_exact_top,
     "op5_source_mixing": op5_source_mixing,
     "op6_packing": op6_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
