@@ -156,7 +156,7 @@ def mixed(docs: DataFrame, source: str = "source", copies: int = COPIES, seed: i
     )
     plan = patterns.join(routed, "pattern").select(
         "pattern", "words", F.col("sources")[0].alias("source"),
-        F.when(F.col("words") > 0, F.floor(F.col("routed") / F.col("words"))).otherwise(0).cast("bigint").alias("whole"),
+        F.coalesce(F.floor(F.try_divide(F.col("routed"), F.col("words"))), F.lit(0)).cast("bigint").alias("whole"),
         "routed",
     )
     plan = written(plan.withColumn("rest", F.col("routed") - F.col("whole") * F.col("words")).join(targets, "source"), "plan")

@@ -12,7 +12,10 @@ from .mixing import mixed
 from .multiindex import nearest_neighbours
 from .neardup import near_duplicates
 from .packing import packed
+from .pii import personal_spans
+from .quality import judged
 from .sharding import sharded
+from .urlfilter import judged_urls
 
 
 def op1_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +27,10 @@ def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest_neighbours(load(spark, sf_dir, "embeddings"))
 
 
+def op3_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged_urls(load(spark, sf_dir, "pages"))
+
+
 def op4_exact_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_top(load(spark, sf_dir, "embeddings"))
 
@@ -42,6 +49,11 @@ def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents"))
 
 
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    return judged(docs, load(spark, sf_dir, "labels")).select("doc_id", "log_ratio", "sample_key", "kept")
+
+
 def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharded(load(spark, sf_dir, "documents")).select(
         "doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
@@ -49,12 +61,19 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_spans(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
+    "op3_url_filters": op3_url_filters,
     "op4_exact_top": op4_exact_top,
     "op5_source_mixing": op5_source_mixing,
     "op6_packing": op6_packing,
     "op7_minhash_near_dedup": op7_minhash_near_dedup,
+    "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
+    "op10_personal_data": op10_personal_data,
 }
