@@ -3,7 +3,8 @@
 Pages that a rule decides are the labelled ones. Per host and number of path
 segments, a segment that is no number and frequent at its place is a branch of
 its own; all others are wildcards. Branches of one host and shape whose
-labelled shares do not differ significantly from the shape's are merged.
+labelled shares do not differ significantly from the shape's are merged; a
+branch without labels is like no other and keeps the prior alone.
 A template is rejected if its smoothed share of blocked labels is high.
 
 A null url, or one without ``://``, has an empty host and path and is allowed.
@@ -72,7 +73,7 @@ def template_verdicts(stats: DataFrame) -> DataFrame:
     pooled = stats.groupBy("tree").agg(F.sum("labelled").alias("all_labelled"), F.sum("bad").alias("all_bad"))
     mean = F.try_divide(F.col("all_bad"), F.col("all_labelled"))
     apart = F.abs(share - mean) > Z * F.sqrt(F.try_divide(mean * (1 - mean), F.col("labelled"))) + 1e-9
-    judged = stats.join(pooled, "tree").withColumn("apart", F.coalesce((F.col("labelled") > 0) & apart, F.lit(False)))
+    judged = stats.join(pooled, "tree").withColumn("apart", (F.col("labelled") == 0) | F.coalesce(apart, F.lit(False)))
     together = judged.where("not apart").groupBy("tree").agg(
         F.sum("labelled").alias("near_labelled"), F.sum("bad").alias("near_bad")
     )
