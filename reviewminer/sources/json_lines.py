@@ -15,7 +15,7 @@ LENIENT = {"allowSingleQuotes": "true", "allowUnquotedFieldNames": "true"}
 Paths = str | Sequence[str]
 
 
-def _records(spark: SparkSession, path: Paths, schema: T.StructType, on_error: str) -> DataFrame:
+def _records(spark: SparkSession, path: Paths, schema: T.StructType, on_error: str, glob: str | None = None) -> DataFrame:
     """(value, source_file, fields..., [_corrupt_record]) of the lines.
 
     Every line is parsed once and whole: the generator keeps later filters from
@@ -30,7 +30,8 @@ def _records(spark: SparkSession, path: Paths, schema: T.StructType, on_error: s
     else:
         schema = T.StructType([*schema.fields, T.StructField(CORRUPT, T.StringType())])
         options["columnNameOfCorruptRecord"] = CORRUPT
-    lines = spark.read.option("pathGlobFilter", "*.json").text(path).where(F.trim("value") != "")
+    reader = spark.read if glob is None else spark.read.option("pathGlobFilter", glob)
+    lines = reader.text(path).where(F.trim("value") != "")
     record = F.from_json("value", schema, options)
     return lines.select("value", F.col("_metadata.file_path").alias(FILE), F.inline(F.array(record)))
 
@@ -44,17 +45,20 @@ def _zero_defaults(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns(defaults)
 
 
-def read_reviews(spark: SparkSession, path: Paths, on_error: str = "quarantine") -> DataFrame:
-    """Reviews of a file, a folder of ``*.json`` or several of them.
+def read_reviews(spark: SparkSession, path: Paths, on_error: str = "quarantine", glob: str | None = None) -> DataFrame:
+    """Reviews of a file, a folder or several of them, plain or compressed.
+
+    ``glob`` limits a read to file names, such as ``*.json``; all are read without it.
+
 
     ``source_file`` tells the files apart, so per-file work is a grouping.
     ``review_id`` joins reviewer, product and time.
     """
-    df = _zero_defaults(_records(spark, path, REVIEW, on_error).drop("value"), REVIEW)
+    df = _zero_defaults(_records(spark, path, REVIEW, on_error, glob).drop("value"), REVIEW)
     return df.withColumn("review_id", F.concat_ws(":", "reviewerID", "asin", "unixReviewTime"))
 
 
-def read_products(spark: SparkSession, path: Paths, on_error: str = "quarantine") -> DataFrame:
+def read_products(spark: SparkSession, path: Paths, on_error: str = "quarantine", glob: str | None = None) -> DataFrame:
     """Product metadata; the sales rank is accepted in both of its spellings.
 
     Column names do not tell cases apart, keys do: the second spelling is taken
@@ -62,7 +66,7 @@ def read_products(spark: SparkSession, path: Paths, on_error: str = "quarantine"
     """
     other = T.StructType([T.StructField("SalesRank", PRODUCT["salesRank"].dataType)])
     second = F.from_json("value", other, LENIENT).getField("SalesRank")
-    records = _records(spark, path, PRODUCT, on_error)
+    records = _records(spark, path, PRODUCT, on_error, glob)
     ranked = records.withColumn("salesRank", F.coalesce("salesRank", second)).drop("value")
     return _zero_defaults(ranked, PRODUCT)
 

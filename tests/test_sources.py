@@ -17,11 +17,22 @@ def write(folder, name, *lines):
     (folder / name).write_text("\n".join(lines) + "\n", encoding="utf-8")
 
 
+def test_files_of_any_name_are_read(spark, tmp_path):
+    import gzip
+
+    for name in ("a.json", "b.jsonl", "noext"):
+        write(tmp_path, name, json.dumps(REVIEW_LINE))
+    (tmp_path / "c.json.gz").write_bytes(gzip.compress(json.dumps(REVIEW_LINE).encode()))
+    assert j.read_reviews(spark, str(tmp_path)).count() == 4
+    for name in ("b.jsonl", "noext", "c.json.gz"):
+        assert j.read_reviews(spark, str(tmp_path / name)).count() == 1
+
+
 def test_reviews_defaults_and_quarantine(spark, tmp_path):
     write(tmp_path, "a.json", json.dumps(REVIEW_LINE), '{"asin": "0002", "reviewText": null}')
     write(tmp_path, "b.json", "{broken", "{asin: '0003', reviewText: 'größer'}")
     write(tmp_path, "c.txt", json.dumps(REVIEW_LINE))
-    df = j.read_reviews(spark, str(tmp_path))
+    df = j.read_reviews(spark, str(tmp_path), glob="*.json")
     good = {r.asin: r for r in j.good_records(df).collect()}
     assert sorted(good) == ["0001", "0002", "0003"]
     assert good["0001"].helpful == [2, 3] and good["0001"].overall == 5.0
