@@ -4,7 +4,8 @@ Rows of ``docs(doc_id, text)`` with equal shingle sets are one class. Classes
 that share a band of registers are candidates; within the connected candidates
 pairs are estimated by likelihood and those that may reach the threshold are
 confirmed on their full sets. A pair of similarity 0.75 shares no band with a
-probability of 2e-5.
+probability of 2e-5. Groups larger than a block are settled inside random
+blocks first; then only classes that are not yet connected meet, all of them.
 
 Null or white-space texts have an empty set and no links. Rows that repeat a
 doc_id are one vertex. Rows without doc_id come back with a null component and
@@ -28,9 +29,11 @@ from .shingles import WordHashes, fingerprint, in_bunches, shingle_set
 
 THRESHOLD = 75  # per cent
 BLOCK = 512  # classes compared with each other in one piece
+ROUNDS = 2  # of comparisons inside blocks, before blocks meet each other
 _BUNCH = 1 << 15
-_MIN_HOT = 50_000
+_MIN_HOT = 5_000
 _TEXTS = 256
+_STRIP = 32  # classes whose likelihoods against a piece are computed together
 
 
 def _sketch(with_sets: bool):
@@ -71,7 +74,8 @@ def _shared_bands(classes: DataFrame) -> DataFrame:
     keys = F.transform(bands, lambda k: F.xxhash64(k, F.substring(F.col("regs"), k * width + 1, F.lit(width))))
     rows = classes.select("rep", F.explode(keys).alias("band"))
     buckets = rows.groupBy("band").agg(F.min("rep").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    met = rows.join(buckets, "band").where("rep <> first")
+    hot = max(_MIN_HOT, classes.count() * setsketch.BANDS // 1000)
+    met = join_hot_keys(rows, buckets, "band", "n", hot).where("rep <> first")
     return met.select(F.col("rep").alias("src"), F.col("first").alias("dst")).distinct()
 
 
@@ -94,12 +98,22 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def _links(ids, blocks, sizes, regs, hashes, cross: bool, threshold: int) -> list[tuple[int, int]]:
+def _wanted(labels, blocks, sizes, regs, cross: bool, threshold: int) -> np.ndarray:
+    """Pairs to be confirmed: of different labels and likely enough; in a meeting of two blocks, one of each."""
+    wanted = np.triu(labels[:, None] != labels[None, :], 1) & ((blocks[:, None] != blocks[None, :]) | (not cross))
+    for low in range(0, len(labels), _STRIP):
+        rows = slice(low, low + _STRIP)
+        if wanted[rows].any():
+            counts = setsketch.compared(regs[rows], regs)
+            wanted[rows] &= setsketch.may_reach(*counts, sizes[rows, None], sizes[None, :], threshold / 100)
+    return wanted
+
+
+def _links(ids, labels, blocks, sizes, regs, hashes, cross: bool, threshold: int) -> list[tuple[int, int]]:
     """A spanning forest of the confirmed links among one piece of candidates."""
     if len(ids) < 2:
         return []
-    likely = setsketch.may_reach(*setsketch.compared(regs, regs), sizes[:, None], sizes[None, :], threshold / 100)
-    wanted = np.triu(likely, 1) & ((blocks[:, None] != blocks[None, :]) | (not cross))
+    wanted = _wanted(labels, blocks, sizes, regs, cross, threshold)
     used = np.flatnonzero(wanted.any(axis=0) | wanted.any(axis=1))
     if not len(used):
         return []
@@ -129,7 +143,7 @@ def _confirm(threshold: int):
     def confirm(table: pa.Table) -> pa.Table:
         table = table.sort_by([("component", "ascending"), ("low", "ascending"), ("high", "ascending")])
         ids, sizes = table["rep"].to_numpy(), table["n_shingles"].to_numpy().astype(float)
-        own = table["block"].to_numpy()
+        own, labels = table["block"].to_numpy(), table["label"].to_numpy()
         key = np.stack([table[c].to_numpy() for c in ("component", "low", "high")])
         regs, hashes = table["regs"].to_pylist(), table["hashes"].to_pylist()
         cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(axis=0)) + 1
@@ -138,39 +152,94 @@ def _confirm(threshold: int):
             rows = np.stack([np.frombuffer(r, "<u2") for r in regs[a:b]])
             sets = [np.frombuffer(h, np.uint64) for h in hashes[a:b]]
             cross = bool(key[1, a] != key[2, a])
-            found += _links(ids[a:b], own[a:b], sizes[a:b], rows, sets, cross, threshold)
+            found += _links(ids[a:b], labels[a:b], own[a:b], sizes[a:b], rows, sets, cross, threshold)
         return pa.table([pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], schema=schema)
 
     return confirm
 
 
-def _confirmed_links(docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
-    """(src, dst) links between classes; members(rep, fp, component) are the candidates.
-
-    Candidates of one component are cut into blocks and meet block by block;
-    small components share a piece. Each piece returns a forest of its links,
-    so a dense group yields no more links than it has members.
-    """
+def _candidate_sets(docs: DataFrame, members: DataFrame, total: int) -> DataFrame:
+    """(rep, n_shingles, regs, hashes, component, pieces) of members(rep, fp, component), written once."""
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    total = members.count()
+    dealt = join_hot_keys(members, sizes, "component", "size", max(_MIN_HOT, total // 1000))
     pieces = F.ceil(F.col("size") / F.lit(BLOCK)).cast("int")
-    dealt = (
-        join_hot_keys(members, sizes, "component", "size", max(_MIN_HOT, total // 1000))
-        .withColumn("pieces", pieces)
-        .withColumn("block", F.pmod(F.xxhash64("rep", F.lit(1)), F.col("pieces")).cast("int"))
-    )
-    wanted = dealt.select(F.col("rep").alias("doc_id"), F.col("fp").alias("own"), "component", "pieces", "block")
+    wanted = dealt.select(F.col("rep").alias("doc_id"), F.col("fp").alias("own"), "component", pieces.alias("pieces"))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     found = _sketched(texts.join(wanted.select("doc_id").distinct(), "doc_id", "left_semi"), True)
     rows = found.join(wanted, "doc_id").where("fp = own").drop("own", "fp").withColumnRenamed("doc_id", "rep")
-    other = F.explode(F.sequence(F.lit(0), F.col("pieces") - 1))
-    paired = rows.withColumn("other", other).select(
-        "rep", "n_shingles", "regs", "hashes", "component", "block",
-        F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"),
-        F.when(F.col("pieces") > 1, F.xxhash64("component", F.least("block", "other"), F.greatest("block", "other")))
-        .otherwise(F.pmod(F.xxhash64("component"), F.lit(max(1, total // BLOCK)))).alias("part"),
+    return written(rows, "candidate-sets")
+
+
+def _compared(rows: DataFrame, threshold: int, label: str) -> DataFrame:
+    """(src, dst) for rows with ``block``, ``low`` and ``high`` (the two blocks that meet) and ``part`` (the task)."""
+    columns = ["rep", "label", "n_shingles", "regs", "hashes", "component", "block", "low", "high", "part"]
+    found = rows.select(*columns).groupBy("part").applyInArrow(_confirm(threshold), "src bigint, dst bigint")
+    return written(found, label)
+
+
+def _inside_blocks(rows: DataFrame, seed: int, total: int, threshold: int) -> DataFrame:
+    """Links inside one random dealing of every component into blocks; small components share a task."""
+    block = F.pmod(F.xxhash64("rep", F.lit(seed)), F.col("pieces")).cast("int")
+    few = F.pmod(F.xxhash64("component"), F.lit(max(1, total // BLOCK)))
+    part = F.when(F.col("pieces") > 1, F.xxhash64("component", "block")).otherwise(few)
+    dealt = rows.withColumn("block", block).withColumn("low", F.col("block")).withColumn("high", F.col("block"))
+    return _compared(dealt.withColumn("part", part), threshold, f"links-{seed}")
+
+
+def _open(large: DataFrame, links: DataFrame, total: int) -> DataFrame:
+    """(rep, label, is_major, majors, minors) of the components that are not in one part yet.
+
+    The label names the connected part; the largest part of a component is its
+    major one. Only narrow rows are joined here.
+    """
+    labels = components(links).select(F.col("id").alias("rep"), F.col("component").alias("label"))
+    state = large.select("rep", "component").join(labels, "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    state = written(state, "labels")
+    parts = state.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    heads = parts.groupBy("component").agg(
+        F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("size"), F.count(F.lit(1)).alias("parts")
+    )
+    heads = heads.where("parts > 1").select(
+        "component", "size", F.col("most.label").alias("major"), F.col("most.n").alias("majors"),
+        (F.col("size") - F.col("most.n")).alias("minors"),
     )
-    return paired.groupBy("part").applyInArrow(_confirm(threshold), "src bigint, dst bigint")
+    met = join_hot_keys(state, heads, "component", "size", max(_MIN_HOT, total // 1000))
+    return met.select("rep", "label", (F.col("label") == F.col("major")).alias("is_major"), "majors", "minors").distinct()
+
+
+def _across_blocks(rows: DataFrame, threshold: int) -> DataFrame:
+    """All links between the parts of a component: its minor parts meet each other and the major one.
+
+    Blocks of minor parts come first in the numbering. A row of the major part
+    goes to the minor blocks alone, so a component that is nearly in one part
+    costs little more than its own rows.
+    """
+    minor = F.ceil(F.col("minors") / F.lit(BLOCK)).cast("int")
+    major = F.ceil(F.col("majors") / F.lit(BLOCK)).cast("int")
+    draw = F.xxhash64("rep", F.lit(0))
+    block = F.when(F.col("is_major"), minor + F.pmod(draw, major)).otherwise(F.pmod(draw, minor)).cast("int")
+    last = F.when(F.col("is_major"), minor - 1).otherwise(minor + major - 1)
+    paired = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), last)))
+    paired = paired.withColumn("low", F.least("block", "other")).withColumn("high", F.greatest("block", "other"))
+    return _compared(paired.withColumn("part", F.xxhash64("component", "low", "high")), threshold, "links-across")
+
+
+def _confirmed_links(docs: DataFrame, members: DataFrame, threshold: int) -> DataFrame:
+    """(src, dst) links between classes; members(rep, fp, component) are the candidates.
+
+    Each piece returns a forest of its links, so a dense group yields no more
+    links than it has members.
+    """
+    total = members.count()
+    sets = _candidate_sets(docs, members, total)
+    links = _inside_blocks(sets.withColumn("label", F.col("rep")), 1, total, threshold)
+    large = sets.where("pieces > 1")
+    if not large.limit(1).count():
+        return links
+    for seed in range(2, ROUNDS + 1):
+        rest = large.join(_open(large, links, total), "rep")
+        links = links.unionByName(_inside_blocks(rest, seed, total, threshold))
+    return links.unionByName(_across_blocks(large.join(_open(large, links, total), "rep"), threshold))
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:

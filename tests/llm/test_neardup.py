@@ -5,7 +5,9 @@ from __future__ import annotations
 import re
 from itertools import combinations
 
-from reviewminer.llm import setsketch
+import pytest
+
+from reviewminer.llm import neardup, setsketch
 from reviewminer.llm.neardup import near_duplicates
 
 WORDS = "abcdefghijklmnopqrstuvwxyz"
@@ -73,6 +75,17 @@ def test_large_group_in_several_blocks(spark):
     check(spark, rows)
 
 
+@pytest.mark.parametrize("rounds", [1, 2])
+def test_tiny_blocks_leave_the_rest_to_meetings_of_blocks(spark, monkeypatch, rounds):
+    """A chain: every text resembles its neighbours only, so blocks settle next to nothing."""
+    monkeypatch.setattr(neardup, "BLOCK", 4)
+    monkeypatch.setattr(neardup, "ROUNDS", rounds)
+    words = [f"w{i}" for i in range(220)]
+    rows = [(k, " ".join(words[5 * k : 5 * k + 60])) for k in range(33)]
+    rows += [(100 + k, " ".join([*words[100:160], f"tail{k}"])) for k in range(20)]
+    check(spark, [*rows, rows[3], (200, rows[3][1])])
+
+
 def test_empty_table_extra_columns_and_null_id(spark):
     assert found(spark, []) == []
     schema = "fp string, doc_id bigint, component string, text string, rep int"
