@@ -44,18 +44,10 @@ PRODUCTS = """products AS (
 IN_CATEGORY = f"list_contains(flatten(categories), {quoted(CATEGORY)})"
 LISTED = "SELECT asin, CAST(price AS DOUBLE) AS price, brand FROM products"
 
-NEIGHBOURS = """line AS (
-  SELECT l_orderkey, l_linenumber, min({'k': l_partkey, 'd': l_shipdate}) AS f
-  FROM lineitem GROUP BY l_orderkey, l_linenumber),
-pairs AS (
-  SELECT a.f.k AS a, b.f.k AS b, a.f.d = b.f.d AS together
-  FROM line a JOIN line b ON a.l_orderkey = b.l_orderkey AND a.l_linenumber + 1 = b.l_linenumber
-  WHERE a.f.k <> b.f.k),
-arcs AS (SELECT a AS part, b AS other, together FROM pairs UNION ALL SELECT b, a, together FROM pairs),
-ends AS (
-  SELECT part, min(other) AS low, max(other) AS high,
-         min(CASE WHEN together THEN other END) AS low_same, max(CASE WHEN together THEN other END) AS high_same
-  FROM arcs GROUP BY part)"""
+PARTNERS = f"""partners AS (
+  SELECT DISTINCT b.l_partkey AS part
+  FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_partkey <> b.l_partkey
+  WHERE a.l_partkey = {SIMILAR_ASIN})"""
 
 # Words ----------------------------------------------------------------------
 
@@ -191,8 +183,9 @@ ORACLES: dict[str, str] = {
     "filter_brand": f"WITH {PRODUCTS} {LISTED} WHERE brand = {quoted(BRAND)}",
     "filter_category": f"WITH {PRODUCTS} {LISTED} WHERE {IN_CATEGORY}",
     "filter_price": f"WITH {PRODUCTS} {LISTED} WHERE CAST(price AS DOUBLE) BETWEEN {PRICES[0]} AND {PRICES[1]}",
-    "filter_similar": f"""WITH {PRODUCTS}, {NEIGHBOURS} {LISTED} JOIN ends ON part = p_partkey
-        WHERE asin = {quoted(SIMILAR_ASIN)} OR {SIMILAR_ASIN} IN (low, high) OR coalesce({SIMILAR_ASIN} IN (low_same, high_same), FALSE)""",
+    "filter_similar": f"""WITH {PRODUCTS}, {PARTNERS} {LISTED}
+        WHERE p_partkey IN (SELECT part FROM partners)
+           OR (asin = {quoted(SIMILAR_ASIN)} AND EXISTS (SELECT 1 FROM partners))""",
     "filter_chain": f"""WITH {PRODUCTS} {LISTED} WHERE {IN_CATEGORY}
         AND CAST(price AS DOUBLE) BETWEEN {CHAIN_PRICES[0]} AND {CHAIN_PRICES[1]}""",
     "filter_sample_hash": f"""WITH {PRODUCTS} {LISTED}

@@ -34,8 +34,13 @@ def _listed(products: DataFrame) -> DataFrame:
     return products.select("asin", F.col("price").cast("double").alias("price"), "brand")
 
 
-def _filtered(product_filter: filters.Filter, related: bool = False) -> Query:
-    return lambda spark, d: _listed(tables.products(spark, d, related=related).transform(product_filter))
+def _filtered(product_filter: filters.Filter) -> Query:
+    return lambda spark, d: _listed(tables.products(spark, d).transform(product_filter))
+
+
+def filter_similar(spark: SparkSession, d: str) -> DataFrame:
+    ids = tables.bought_with(tables.load(spark, d, "lineitem"), SIMILAR_ASIN)
+    return _listed(tables.products(spark, d).join(ids, "asin", "left_semi"))
 
 
 def _ring(spark: SparkSession, d: str) -> DataFrame:
@@ -257,7 +262,7 @@ QUERIES: dict[str, Query] = {
     "filter_brand": _filtered(filters.brand(BRAND)),
     "filter_category": _filtered(filters.category(CATEGORY)),
     "filter_price": _filtered(filters.price(*PRICES)),
-    "filter_similar": _filtered(filters.similar_to(SIMILAR_ASIN), related=True),
+    "filter_similar": filter_similar,
     "filter_chain": _filtered(filters.chain(filters.category(CATEGORY), filters.price(*CHAIN_PRICES))),
     "filter_sample_hash": _filtered(filters.sample_by_hash(SAMPLE_FRACTION, SAMPLE_SEED)),
     "product_json_roundtrip": product_json_roundtrip,

@@ -50,76 +50,27 @@ def attach_ratings(df: DataFrame, rated: DataFrame, default: float = 3.0) -> Dat
     return joined.withColumn("overall", F.coalesce("overall", F.lit(default)))
 
 
-def order_neighbours(lineitem: DataFrame) -> DataFrame:
-    """(part, other, together): parts on consecutive lines of one order.
+def bought_with(lineitem: DataFrame, asin: str) -> DataFrame:
+    """(asin): every part that shares an order with the asked one, and itself if there is any.
 
-    One part per (order, line) first, so that the join key is unique on both
-    sides and the result grows linearly even if one order holds most lines.
+    The orders of the asked part are found first and their lines kept by a semi
+    join, so the work is linear in the lines, however many one order holds.
     """
-    line = (
-        lineitem.groupBy("l_orderkey", "l_linenumber")
-        .agg(F.min(F.struct("l_partkey", "l_shipdate")).alias("first"))
-        .select("l_orderkey", "l_linenumber", "first.*")
-    )
-    following = line.select(
-        "l_orderkey",
-        (F.col("l_linenumber") - 1).alias("l_linenumber"),
-        F.col("l_partkey").alias("next_part"),
-        F.col("l_shipdate").alias("next_date"),
-    )
-    pairs = line.join(following, ["l_orderkey", "l_linenumber"]).where("l_partkey <> next_part")
-    together = F.col("l_shipdate") == F.col("next_date")
-    both = F.array(
-        F.struct(F.col("l_partkey").alias("part"), F.col("next_part").alias("other"), together.alias("together")),
-        F.struct(F.col("next_part").alias("part"), F.col("l_partkey").alias("other"), together.alias("together")),
-    )
-    return pairs.select(F.inline(both))
-
-
-def _ends(condition) -> list:
-    other = F.when(condition, F.col("other"))
-    return [F.min(other), F.max(other)]
+    lines = lineitem.select("l_orderkey", F.col("l_partkey").cast("string").alias("asin")).where("asin is not null")
+    orders = lines.where(F.col("asin") == asin).select("l_orderkey").distinct()
+    met = lines.where(F.col("asin") != asin).join(orders, "l_orderkey", "left_semi")
+    others = met.select("asin").distinct()
+    return others.unionByName(others.limit(1).select(F.lit(asin).alias("asin")))
 
 
-def products(spark: SparkSession, sf_dir: str, *, related: bool = False) -> DataFrame:
-    """products(asin, price, brand, categories[, related]).
-
-    ``related`` keeps the lowest and highest neighbouring part of each kind: two
-    algebraic aggregates, so the lists stay short whatever the part's share.
-    """
-    part = load(spark, sf_dir, "part")
-    base = part.select(
-        "p_partkey",
+def products(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """products(asin, price, brand, categories)."""
+    return load(spark, sf_dir, "part").select(
         F.col("p_partkey").cast("string").alias("asin"),
         F.col("p_retailprice").cast("float").alias("price"),
         F.col("p_brand").alias("brand"),
         F.array(F.array(F.lit("All"), "p_type"), F.split("p_name", " ")).alias("categories"),
     )
-    if not related:
-        return base.drop("p_partkey")
-    pairs = order_neighbours(load(spark, sf_dir, "lineitem"))
-    low, high = _ends(F.lit(True))
-    low_same, high_same = _ends(F.col("together"))
-    ends = pairs.groupBy(F.col("part").alias("p_partkey")).agg(
-        low.alias("low"), high.alias("high"), low_same.alias("low_same"), high_same.alias("high_same")
-    )
-
-    def listed(a: str, b: str):
-        names = F.array_distinct(F.array(F.col(a).cast("string"), F.col(b).cast("string")))
-        return F.when(F.col(a).isNotNull(), names)
-
-    return base.join(
-        ends.select(
-            "p_partkey",
-            F.struct(
-                listed("low", "high").alias("also_bought"),
-                F.lit(None).cast("array<string>").alias("also_viewed"),
-                listed("low_same", "high_same").alias("bought_together"),
-            ).alias("related"),
-        ),
-        "p_partkey",
-        "left",
-    ).drop("p_partkey")
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

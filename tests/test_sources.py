@@ -88,14 +88,18 @@ def test_stopword_file(spark, tmp_path):
     assert set(stopwords.read_stopwords(spark, str(tmp_path / "stop.txt"))) == {"the", "ours", "ourselves", "ca", "n't", "."}
 
 
-def test_neighbours_stay_linear_with_a_hot_order(spark):
-    rows = [(1, k % 7, k) for k in range(500)] + [(2, 1, 9), (2, 2, 8), (3, 1, 7)]
-    lines = spark.createDataFrame(rows, "l_orderkey long, l_linenumber int, l_partkey long").withColumn(
-        "l_shipdate", F.lit("1999-01-01").cast("timestamp")
-    )
-    found = tables.order_neighbours(lines).collect()
-    assert len(found) == 2 * 6 + 2
-    assert {(r.part, r.other) for r in found if r.part > 7} == {(9, 8), (8, 9)}
+def test_every_part_of_a_hot_order_is_found(spark):
+    rows = [(1, k) for k in range(500)] * 2 + [(2, 9), (2, 900), (3, 7), (4, 901), (4, 902), (5, 903), (5, 903), (6, None)]
+    lines = spark.createDataFrame(rows, "l_orderkey long, l_partkey long")
+
+    def found(asin):
+        rows = [r.asin for r in tables.bought_with(lines, asin).collect()]
+        assert len(rows) == len(set(rows))
+        return {int(r) for r in rows}
+
+    assert found("9") == {*range(500), 900}
+    assert found("900") == {9, 900} and found("901") == {901, 902}
+    assert found("903") == set() and found("77777") == set()
 
 
 def test_report_lines(spark, tmp_path):
