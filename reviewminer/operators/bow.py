@@ -12,17 +12,14 @@ from pyspark.sql import functions as F
 
 from ..functions.wordlists import STOPWORDS
 from .ranking import with_positions
-from .skew import join_hot_keys
-from .tokens import review_terms, word_counts, word_lists
+from .tokens import word_counts, word_lists
 
 # Frequency cut, iterations and penalty of the word model.
 MIN_COUNT = 10
 MAX_ITER = 10
 REG_PARAM = 0.01
 
-DRIVER_VOCABULARY = 1_000_000
-MIN_HOT = 1_000_000
-HOT_SHARE = 10_000  # words above 1/10000 of all tokens are split
+SOLVER = "l-bfgs"  # the same for every vocabulary size
 
 
 def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -30,46 +27,37 @@ def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return with_positions(counts.where(F.col("n") >= min_count), F.desc("n"), "word")
 
 
-def _joined_vectors(reviews: DataFrame, vocab: DataFrame, size: int, stopwords: Iterable[str]) -> DataFrame:
-    """Vectors by a join on the word, for vocabularies too large for the driver."""
-    terms = review_terms(reviews, stopwords).withColumnRenamed("term", "word")
-    weighted = vocab.select("word", "pos", "n")
-    total = vocab.agg(F.sum("n")).first()[0] or 0
-    cells = join_hot_keys(terms, weighted, "word", "n", max(MIN_HOT, total // HOT_SHARE))
-    lists = cells.groupBy("review_id").agg(
-        F.sort_array(F.collect_list(F.struct("pos", "tf"))).alias("cells")  # one review's words
-    )
-
-    @F.udf(VectorUDT())
-    def sparse(found):
-        found = found or []
-        return Vectors.sparse(size, [c["pos"] for c in found], [float(c["tf"]) for c in found])
-
-    ids = reviews.where(F.col("reviewText").isNotNull()).select("review_id")
-    return ids.join(lists, "review_id", "left").select("review_id", sparse("cells").alias("features"))
-
-
 def bow_vectors(
-    reviews: DataFrame,
-    vocab: DataFrame,
-    stopwords: Iterable[str] = STOPWORDS,
-    driver_limit: int = DRIVER_VOCABULARY,
+    reviews: DataFrame, vocab: DataFrame, stopwords: Iterable[str] = STOPWORDS, keep: Iterable[str] = ()
 ) -> DataFrame:
-    """(review_id, features): word counts per review as sparse vectors."""
-    size = vocab.count()
-    if size > driver_limit:
-        return _joined_vectors(reviews, vocab, size, stopwords)
-    words = [row.word for row in vocab.orderBy("pos").select("word").collect()]
+    """(review_id, *keep, features): word counts per review as sparse vectors, one row per review.
+
+    The vocabulary is on the driver, as are the coefficients of the model fitted
+    on these vectors: one word and one number for every word.
+    """
+    lists = word_lists(reviews, stopwords, keep)
+    words = [row.word for row in vocab.orderBy("pos").select("word").toLocalIterator()]
     if not words:
         empty = F.udf(lambda: Vectors.sparse(0, [], []), VectorUDT())
-        return word_lists(reviews, stopwords).select("review_id", empty().alias("features"))
+        return lists.select("review_id", *keep, empty().alias("features"))
     model = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="features")
-    return model.transform(word_lists(reviews, stopwords)).select("review_id", "features")
+    return model.transform(lists).select("review_id", *keep, "features")
 
 
 def fit(points: DataFrame, max_iter: int = MAX_ITER, reg_param: float = REG_PARAM) -> LinearRegressionModel:
     """Ridge regression of (label, features) points."""
-    return LinearRegression(maxIter=max_iter, regParam=reg_param).fit(points)
+    return LinearRegression(maxIter=max_iter, regParam=reg_param, solver=SOLVER).fit(points)
+
+
+def bow_points(
+    reviews: DataFrame, vocab: DataFrame, rated: DataFrame | None, default: float, stopwords: Iterable[str] = STOPWORDS
+) -> DataFrame:
+    """(label, features), one point per review with a text, also where ids repeat."""
+    if rated is None:
+        rows = bow_vectors(reviews, vocab, stopwords, ["overall"])
+    else:
+        rows = bow_vectors(reviews, vocab, stopwords).join(rated, "review_id", "left")
+    return rows.select(F.coalesce(F.col("overall").cast("double"), F.lit(default)).alias("label"), "features")
 
 
 def bow_regression(
@@ -88,13 +76,7 @@ def bow_regression(
     vocab = vocabulary(word_counts(reviews, stopwords), min_count)
     if not vocab.limit(1).count():
         return vocab.select("word", "n", F.lit(0.0).alias("coef"))
-    labels = reviews.select("review_id", "overall") if rated is None else rated
-    points = (
-        bow_vectors(reviews, vocab, stopwords)
-        .join(labels, "review_id", "left")
-        .select(F.coalesce(F.col("overall").cast("double"), F.lit(default)).alias("label"), "features")
-    )
-    coefficients = fit(points).coefficients
+    coefficients = fit(bow_points(reviews, vocab, rated, default, stopwords)).coefficients
     cells = ((i, float(c)) for i, c in enumerate(coefficients))  # the model lives on the driver anyway
     table = spark.createDataFrame(list(cells), "pos long, coef double")
     return vocab.join(table, "pos").select("word", "n", "coef")

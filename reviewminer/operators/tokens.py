@@ -46,9 +46,9 @@ def tagged_words(
     )
 
 
-def word_lists(reviews: DataFrame, stopwords: Iterable[str] = STOPWORDS) -> DataFrame:
-    """(review_id, words): the content words of every review in order."""
-    return _texts(reviews).select("review_id", content_words(F.col("reviewText"), stopwords).alias("words"))
+def word_lists(reviews: DataFrame, stopwords: Iterable[str] = STOPWORDS, keep: Iterable[str] = ()) -> DataFrame:
+    """(review_id, *keep, words): the content words of every review in order."""
+    return _texts(reviews).select("review_id", *keep, content_words(F.col("reviewText"), stopwords).alias("words"))
 
 
 def whitespace_lists(reviews: DataFrame) -> DataFrame:

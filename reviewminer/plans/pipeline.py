@@ -113,7 +113,8 @@ def mine(
     stats = C.ngram_stats(ngrams).persist(StorageLevel.MEMORY_AND_DISK)
     key = {"feature": "feature", "first": "w2"}[vector_of]
     if trains:
-        model = train(word_lists(reviews, stopwords), partitions=partitions or 1)
+        cores = reviews.sparkSession.sparkContext.defaultParallelism
+        model = train(word_lists(reviews, stopwords), partitions=partitions or cores)
         vectors = phrase_vectors(stats.select(key).distinct(), word_vectors(model), key)
     assignment = C.assign(stats, vectors, threshold, algorithm, key)
     clusters = C.build_clusters(stats, assignment, drop_singletons)

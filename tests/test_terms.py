@@ -66,15 +66,19 @@ def test_vocabulary_cut(reviews_of):
     ]
 
 
-def test_bag_of_words_vectors_both_ways(reviews_of):
+def test_bag_of_words_vectors(reviews_of):
     df = reviews_of(["sound sound price", "price", "none here", ""])
     vocab = bow.vocabulary(word_counts(df), 2)
     direct = {r.review_id: r.features for r in bow.bow_vectors(df, vocab).collect()}
-    joined = {r.review_id: r.features for r in bow.bow_vectors(df, vocab, driver_limit=0).collect()}
-    assert direct == joined
     assert direct["0"].toArray().tolist() == [1.0, 2.0] and direct["2"].numNonzeros() == 0
 
 
+def test_repeated_ids_stay_points_of_their_own(reviews_of):
+    df = reviews_of([("sound sound price", 5), ("price", 1), ("sound", 4)]).withColumn("review_id", F.lit("same"))
+    points = bow.bow_points(df, bow.vocabulary(word_counts(df), 1), None, 3.0).collect()
+    assert sorted((r.label, *r.features.toArray()) for r in points) == [(1.0, 0.0, 1.0), (4.0, 1.0, 0.0), (5.0, 2.0, 1.0)]
+
+
 def test_bow_regression_is_the_direct_fit(spark, reviews_of):
     rng = random.Random(6)
     words = "sound price battery screen case".split()
