@@ -194,6 +194,36 @@ def test_personal_spans(spark):
     assert pii.personal_spans(docs_of(spark, [])).collect() == []
 
 
+def test_digit_stretches_are_cut_at_every_separator():
+    for text, wanted in [
+        ("555-123-4567 555-987-6543", [(3, 0, 12), (3, 13, 25)]),
+        ("10.0.0.1 4111.1111.1111.1111", [(1, 0, 8), (2, 9, 28)]),
+        ("1 " * 60 + "(555) 123-4567", [(3, 120, 134)]),
+        ("jo [at] a.example.org. Then", [(0, 0, 21)]),
+    ]:
+        assert set(wanted) <= set(pii.candidates(text)), text
+
+
+def test_new_forms_are_added_and_others_are_not(spark):
+    rng, rows = random.Random(7), []
+    for k in range(150):
+        head = f"4{rng.randrange(10**14):014}"
+        card = next(head + d for d in "0123456789" if pii.luhn(head + d))
+        mail, ip = f"m{k}.x@h{k % 9}.example.com", ".".join(str(rng.randint(1, 255)) for _ in range(4))
+        rows.append((k, f"so {mail} and {ip} or {card} was +1 ({rng.randint(200, 999)}) 555-{k:04} there", None))
+    new = {
+        "see 555-123-4567 555-987-6543 now": ["phone:4:16", "phone:17:29"],
+        "see 10.0.0.1 4111.1111.1111.1111 now": ["ip:4:12", "card:13:32"],
+        "see 3782 822463 10005 now": ["card:4:21"],
+        "see jo.m [at] mail.example.org now": ["email:4:30"],
+        "see 4111.1111.1111.1112 now": [], "see 2019-05-17 now": [], "see 1.250.000 now": [],
+    }
+    rows += [(1000 + i, text, None) for i, text in enumerate(new)]
+    got = {r.doc_id: r.spans for r in pii.personal_spans(docs_of(spark, rows)).collect()}
+    for i, wanted in enumerate(new.values()):
+        assert got[1000 + i] == ",".join(wanted)
+
+
 def test_urls(spark):
     urls = [
         "http://Sub.Example.COM/en/1?x#y", "https://www.example.com/en/a", "x.net/es/1", None, "ftp://b.net/es/", "http://b.net/es",
