@@ -122,14 +122,32 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
     Equal vectors are compared once, under their smallest id; ``vector_copies``
     names the others, so a group of n copies costs n rows and not n squared.
     """
+    return _pairs_of(_kept(vectors), vectors, threshold, block_rows)
+
+
+def _pairs_of(kept: DataFrame, vectors: DataFrame, threshold: float, block_rows: int) -> DataFrame:
     kind = vectors.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id_a", kind), T.StructField("id_b", kind), T.StructField("cosine", T.DoubleType())]
     )
-    pairs = _block_pairs(_kept(vectors), block_rows)
+    pairs = _block_pairs(kept, block_rows)
     return pairs.groupBy("bi", "bj").applyInPandas(_pairs_above(threshold), schema)
 
 
+def similar_pairs_and_copies(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The similar pairs, and a row (copy_of, id, 1.0) for every further id of a vector.
+
+    Ids are similar if their firsts are the same or a pair, so no id is lost
+    and the rows stay in proportion to the copies.
+    """
+    kept = _kept(vectors)
+    pairs = _pairs_of(kept, vectors, threshold, block_rows)
+    if threshold >= 1:
+        return pairs
+    copies = vector_copies(vectors.where(has_direction(F.col("vector"))), kept)
+    return pairs.unionByName(copies.select(F.col("copy_of").alias("id_a"), F.col("id").alias("id_b"), F.lit(1.0).alias("cosine")))
+
+
 def _forest(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     def grow(pdf: pd.DataFrame) -> pd.DataFrame:
         (ids_a, a), (ids_b, b), same = _sides(pdf)

@@ -222,7 +222,7 @@ def feature_report(spark: SparkSession, d: str) -> DataFrame:
 
 
 def similar_pairs(spark: SparkSession, d: str) -> DataFrame:
-    found = similarity.similar_pairs(tables.vectors(spark, d), VECTOR_THRESHOLD)
+    found = similarity.similar_pairs_and_copies(tables.vectors(spark, d), VECTOR_THRESHOLD)
     return found.select("id_a", "id_b", _digits("cosine", 6))
 
 

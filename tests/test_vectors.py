@@ -195,3 +195,24 @@ def test_copies_of_a_hot_vector_are_split(spark, monkeypatch):
     data = [(i, [1.0, 2.0]) for i in range(50)] + [(i, [float(i), 1.0]) for i in range(50, 60)]
     monkeypatch.setattr(s, "HOT_COPIES", 5)
     assert {(r.id, r.copy_of) for r in s.vector_copies(table(spark, data)).collect()} == {(i, 0) for i in range(1, 50)}
+
+
+def test_similar_pairs_query_keeps_every_copy(spark, tmp_path):
+    from reviewminer.plans.parameters import VECTOR_THRESHOLD
+    from reviewminer.plans.queries import similar_pairs
+
+    rng = np.random.default_rng(3)
+    base = rng.normal(size=(6, 4))
+    base[5] = base[4] + 0.01
+    rows = [(i, [float(x) for x in base[0 if i % 3 == 0 else i % 6]]) for i in range(60)] + [(60, [0.0] * 4), (61, [0.0] * 4)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = similar_pairs(spark, str(tmp_path)).collect()
+    firsts = {i: i for i, _ in rows} | {r.id_b: r.id_a for r in got if r.cosine == 1.0}
+    near = {(r.id_a, r.id_b) for r in got if r.cosine < 1.0}
+    v = {i: np.array(x, np.float32).astype(float) for i, x in rows[:60]}
+    for a in range(60):
+        for b in range(a + 1, 60):
+            similar = v[a] @ v[b] / np.linalg.norm(v[a]) / np.linalg.norm(v[b]) > VECTOR_THRESHOLD
+            pair = tuple(sorted((firsts[a], firsts[b])))
+            assert similar == (pair[0] == pair[1] or pair in near), (a, b)
+    assert len(got) < 2 * len(rows) and not {60, 61} & {i for r in got for i in (r.id_a, r.id_b)}
