@@ -8,7 +8,8 @@ importance weights. Without a given k, it is the number of documents at which
 labelled good and bad ones are told apart best.
 
 Null and empty texts have the ratio 0. Labels repeated for a document count by
-the worst. Without any bad label every document is kept. Empty tables give
+the worst; rows that share a labelled doc_id count once for the cut, by their
+largest key. Without any bad label every document is kept. Empty tables give
 empty tables; rows that repeat are judged alike.
 """
 
@@ -95,7 +96,9 @@ def judged(docs: DataFrame, labels: DataFrame, k: int | None = None, labelled: i
     scored = scored.withColumn("sample_key", F.col("log_ratio") - F.log(-F.log(uniform)))
     if k is None:
         narrow = scored.select(F.col("doc_id").cast("bigint").alias("__id"), "sample_key")
-        sample = narrow.join(F.broadcast(known), "__id").select("sample_key", "good").limit(4 * labelled).toPandas()
+        own = narrow.join(F.broadcast(known), "__id").groupBy("__id")
+        own = own.agg(F.max("sample_key").alias("sample_key"), F.max("good").alias("good"))
+        sample = own.orderBy("__id").select("sample_key", "good").toPandas()  # a row per labelled doc_id, at most ``labelled``
         cut = best_cut(sample["sample_key"].to_numpy(float), sample["good"].to_numpy(int))
     else:
         places = with_positions(scored.select("sample_key"), F.desc("sample_key"))

@@ -155,6 +155,16 @@ def test_quality(spark):
     assert quality.judged(docs_of(spark, []), labels).collect() == []
 
 
+def test_repeated_labelled_rows_count_once_for_the_cut(spark, monkeypatch):
+    seen, cut = [], quality.best_cut
+    monkeypatch.setattr(quality, "best_cut", lambda keys, good: seen.append((keys.tolist(), good.tolist())) or cut(keys, good))
+    rows = [(k, f"plain words {k}", "a") for k in range(20)] + [(0, f"hot {k}", "a") for k in range(300)]
+    labels = spark.createDataFrame([(k, k % 2, 0) for k in range(20)], "doc_id bigint, quality int, toxic int")
+    for parts in (1, 7):
+        quality.judged(docs_of(spark, rows).repartition(parts), labels, labelled=20)
+    assert seen[0] == seen[1] and len(seen[0][0]) == 20 and sum(seen[0][1]) == 10
+
+
 MAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 FORMS = [
     MAIL, re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), re.compile(r"[0-9]([\x20-]?[0-9])+"),
