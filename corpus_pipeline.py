@@ -1,8 +1,8 @@
 """From raw documents to packed sequences, stage by stage.
 
 Every stage reads what its predecessor wrote. All but the last return the
-columns of the documents. Null ids, null texts and repeated rows pass through
-as each operator defines.
+columns of the documents. Null ids and null texts pass through as each operator
+defines; rows that repeat a doc_id and a text go in near dedup.
 """
 
 from __future__ import annotations
@@ -35,18 +35,27 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays."""
-    kept = near_duplicates(docs).where("kept").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__id"]), "left_semi")
+    """One document of each group stays, as one row per doc_id and text."""
+    kept = near_duplicates(docs).where("kept").groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n"))
+    kept = written(kept, "kept")
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+
+    def rows(ids: DataFrame) -> DataFrame:
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["__id"]), "left_semi")
+
+    first = F.min(F.struct(F.lit(0).alias("__none"), *others)).alias("__first")
+    repeated = rows(kept.where("__n > 1 and __id is not null")).unionByName(docs.where("doc_id is null"))  # no join on null: it is one key
+    single = repeated.groupBy("doc_id", "text").agg(first).select(*[c if c in ("doc_id", "text") else f"__first.{c}" for c in docs.columns])
+    return rows(kept.where("__n = 1 and __id is not null")).unionByName(single)
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in whole copies; rows of one doc_id go by the largest."""
+    """Rows as often as the mix takes each, in whole copies."""
+    docs = written(docs.withColumn("__row", F.monotonically_increasing_id()), "mixing-rows")
     copies = F.round(F.try_divide(F.col("taken"), F.col("size"))).cast("int")
-    plan = mixed(docs).where("taken > 0").withColumn("__copies", copies)
-    plan = plan.groupBy(F.col("doc_id").alias("__id")).agg(F.max("__copies").alias("__copies")).where("__copies > 0")
-    met = docs.join(plan, docs["doc_id"].eqNullSafe(plan["__id"]))
-    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*docs.columns)
+    plan = mixed(docs, keep=["__row"]).where("taken > 0").select("__row", copies.alias("__copies")).where("__copies > 0")
+    met = docs.join(plan, "__row").drop("__row")
+    return met.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).drop("__copy", "__copies")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

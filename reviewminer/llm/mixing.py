@@ -15,6 +15,7 @@ target 0. An empty table gives an empty one.
 from __future__ import annotations
 
 from collections import deque
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -119,24 +120,25 @@ def _solve(copies: int):
     return solve
 
 
-def mixed(docs: DataFrame, source: str = "source", copies: int = COPIES, seed: int = SEED) -> DataFrame:
+def mixed(docs: DataFrame, source: str = "source", copies: int = COPIES, seed: int = SEED, keep: Iterable[str] = ()) -> DataFrame:
     """(doc_id, sources, size, source_size, target, taken) for docs(doc_id, text, source).
 
     ``source`` names a string column or an array of strings for documents of
-    several sources; source_size and target are those of the first.
+    several sources; source_size and target are those of the first. The columns
+    ``keep`` come along at the end.
     """
     own = F.col(source) if dict(docs.dtypes)[source].startswith("array") else F.array(source)
     mine = F.col("__own")
     known = F.array_sort(F.array_distinct(F.transform(mine, lambda s: F.coalesce(F.concat(F.lit("="), s), F.lit("~")))))
     rows = written(
-        enough_tasks(docs.select("doc_id", "text", own.alias("__own"))).select(
+        enough_tasks(docs.select("doc_id", "text", own.alias("__own"), *keep)).select(
             F.col("doc_id").cast("bigint").alias("doc_id"),
             F.regexp_count("text", F.lit(_WORDS)).cast("bigint").alias("n"),
             F.when(F.size(known) > 0, known).otherwise(F.array(F.lit("~"))).alias("sources"),
-            F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"),
+            F.xxhash64(F.lit(seed), "doc_id", "text").alias("draw"), *keep,
         ).select(
             "doc_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("size"), "sources",
-            F.concat_ws("\x00", "sources").alias("pattern"), "draw",
+            F.concat_ws("\x00", "sources").alias("pattern"), "draw", *keep,
         ), "words",
     )
     patterns = written(rows.groupBy("pattern", "sources").agg(F.sum("size").alias("words")), "patterns")
@@ -171,5 +173,5 @@ def mixed(docs: DataFrame, source: str = "source", copies: int = COPIES, seed: i
     extra = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("begin") - F.col("inside")))
     return full.select(
         "doc_id", F.transform("sources", lambda s: F.when(s != "~", F.substring(s, 2, 1 << 30))).alias("sources"), "size",
-        "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("bigint").alias("taken"),
+        "source_size", "target", (F.col("whole") * F.col("size") + extra).cast("bigint").alias("taken"), *keep,
     )
