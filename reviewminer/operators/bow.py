@@ -4,21 +4,23 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.feature import CountVectorizerModel
 from pyspark.ml.linalg import Vectors, VectorUDT
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.wordlists import STOPWORDS
+from ..session import durable
 from .ranking import with_positions
-from .tokens import word_counts, word_lists
+from .skew import join_hot_keys
+from .tokens import _histogram, word_counts, word_lists
 
 # Frequency cut, iterations and penalty of the word model.
 MIN_COUNT = 10
 MAX_ITER = 10
 REG_PARAM = 0.01
 
+_MIN_HOT = 20_000
 SOLVER = "l-bfgs"  # the same for every vocabulary size
 
 
@@ -32,16 +34,23 @@ def bow_vectors(
 ) -> DataFrame:
     """(review_id, *keep, features): word counts per review as sparse vectors, one row per review.
 
-    The vocabulary is on the driver, as are the coefficients of the model fitted
-    on these vectors: one word and one number for every word.
+    Words get their positions by a join that splits frequent ones; the
+    vocabulary stays a table. Only the coefficients of the model fitted on these
+    vectors, one number for every word, are on the driver.
     """
-    lists = word_lists(reviews, stopwords, keep)
-    words = [row.word for row in vocab.orderBy("pos").select("word").toLocalIterator()]
-    if not words:
-        empty = F.udf(lambda: Vectors.sparse(0, [], []), VectorUDT())
-        return lists.select("review_id", *keep, empty().alias("features"))
-    model = CountVectorizerModel.from_vocabulary(words, inputCol="words", outputCol="features")
-    return model.transform(lists).select("review_id", *keep, "features")
+    lists = word_lists(reviews, stopwords, keep).withColumn("words", _histogram(F.col("words")))
+    lists = durable(lists.withColumn("__row", F.monotonically_increasing_id()))
+    found = vocab.agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
+    size, hot = found["size"], max(_MIN_HOT, found["total"] // 1000)
+    counts = lists.select("__row", F.inline("words")).withColumnRenamed("term", "word")
+    placed = join_hot_keys(counts, vocab.select("word", "n", "pos"), "word", "n", hot)
+    cells = placed.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", "tf"))).alias("cells"))
+
+    def sparse(cells):
+        return Vectors.sparse(size, [c.pos for c in cells or ()], [float(c.tf) for c in cells or ()])
+
+    rows = lists.drop("words").join(cells, "__row", "left")
+    return rows.select("review_id", *keep, F.udf(sparse, VectorUDT())("cells").alias("features"))
 
 
 def fit(points: DataFrame, max_iter: int = MAX_ITER, reg_param: float = REG_PARAM) -> LinearRegressionModel:

@@ -99,3 +99,14 @@ def test_bow_regression_per_group_and_without_vocabulary(reviews_of):
     models = bow.bow_regression_by(df, "source_file")
     assert {k: [r.word for r in v.collect()] for k, v in models.items()} == {"a": ["sound"], "b": ["price"]}
     assert bow.bow_regression(reviews_of(["rare words"])).count() == 0
+
+
+def test_bow_vocabulary_stays_a_table_and_hot_words_are_split(spark, reviews_of, monkeypatch):
+    df = reviews_of(["alpha beta alpha", "gamma", "", "beta zeta alpha"] * 30)
+    vocab = bow.vocabulary(word_counts(df), 1)
+    wanted = {r.word: r.pos for r in vocab.collect()}
+    monkeypatch.setattr(type(vocab), "toLocalIterator", None)
+    monkeypatch.setattr(bow, "_MIN_HOT", 7)
+    found = [r.features for r in bow.bow_vectors(df, vocab).collect()]
+    assert len(found) == 120 and all(v.size == len(wanted) for v in found)
+    assert sum(v[wanted["alpha"]] for v in found) == 90 and sum(v.numNonzeros() == 0 for v in found) == 30
