@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import load
 from .bitsliced import exact_top
+from .bpe import decoded, encoded
 from .linededup import drop_repeated_lines
 from .mixing import mixed
 from .multiindex import nearest_neighbours
@@ -65,6 +66,15 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_spans(load(spark, sf_dir, "documents"))
 
 
+def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = decoded(encoded(load(spark, sf_dir, "documents")))
+    numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
+    return texts.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"),
+        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+    )
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -76,4 +86,5 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_personal_data": op10_personal_data,
+    "op12_bpe_round_trip": op12_bpe_round_trip,
 }
