@@ -9,7 +9,6 @@ closing id alone. Repeated and null doc_ids are documents of their own.
 
 from __future__ import annotations
 
-import os
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,17 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import Encoder, bunches, texts_of, tokenizer_path
 from .common import enough_tasks
 
 LONGEST = 4096
 CLOSING = 2
-_CHARS = 400_000  # characters tokenised together
-
-
-def tokenizer_path() -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path("word_bpe_49k.json")
 
 
 def cuts(count: int, longest: int = LONGEST) -> list[tuple[int, int]]:
@@ -42,35 +35,18 @@ def cuts(count: int, longest: int = LONGEST) -> list[tuple[int, int]]:
     return out
 
 
-def _bunches(texts: list[str]) -> Iterator[list[str]]:
-    bunch: list[str] = []
-    chars = 0
-    for text in texts:
-        if bunch and chars + len(text) > _CHARS:
-            yield bunch
-            bunch, chars = [], 0
-        bunch.append(text)
-        chars += len(text)
-    if bunch:
-        yield bunch
-
-
 def _cut(path: str | None, longest: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        tokenizer = Tokenizer.from_file(path or tokenizer_path())
+        encoder = Encoder(path or tokenizer_path())
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
-            texts = [t or "" for t in batch.column("text").to_pylist()]
             at = 0
-            for bunch in _bunches(texts):
+            for bunch in bunches(texts_of(batch)):
                 rows = []
-                for found in tokenizer.encode_batch(bunch, add_special_tokens=False):
-                    tokens = np.array([*found.ids, CLOSING], "<u4")
+                for found in encoder.encode(bunch):
+                    tokens = np.append(found, CLOSING).astype("<u4")
                     rows += [(ids[at], s, n, tokens[s : s + n].tobytes(), len(tokens)) for s, n in cuts(len(tokens), longest)]
                     at += 1
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)

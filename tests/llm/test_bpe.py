@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from reviewminer.llm.bpe import Encoder, Merges, decoded, encoded, word_tokenizer_path
+from reviewminer.llm.bpe import Encoder, Merges, decoded, encoded, tokenizer_path
 from reviewminer.llm.queries import op12_bpe_round_trip
 from reviewminer.sources.tables import load
 
@@ -15,7 +15,7 @@ pytest.importorskip("public_tokenizers")
 def library():
     from tokenizers import Tokenizer
 
-    return Tokenizer.from_file(word_tokenizer_path())
+    return Tokenizer.from_file(tokenizer_path())
 
 
 @pytest.fixture(scope="module")
