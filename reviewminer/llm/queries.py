@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.tables import load
+from .alignment import Pair, cross_aligned, with_link_counts
 from .bitsliced import exact_top
 from .bpe import decoded, encoded
+from .common import written
 from .linededup import drop_repeated_lines
 from .mixing import mixed
 from .multiindex import nearest_neighbours
@@ -66,6 +68,12 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return personal_spans(load(spark, sf_dir, "documents"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    digest = F.coalesce(F.sha2(F.col("groups").cast("binary"), 256), F.lit(""))
+    table = cross_aligned(load(spark, sf_dir, "documents")).withColumn("groups_sha256", digest).drop("groups")
+    return with_link_counts(written(table, "alignments"), Pair().size_b)
+
+
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     texts = decoded(encoded(load(spark, sf_dir, "documents")))
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
@@ -86,5 +94,6 @@ QUERIES = {
     "op8_quality_classifier": op8_quality_classifier,
     "op9_sharding": op9_sharding,
     "op10_personal_data": op10_personal_data,
+    "op11_token_alignment": op11_token_alignment,
     "op12_bpe_round_trip": op12_bpe_round_trip,
 }
