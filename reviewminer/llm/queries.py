@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..sources.tables import load
 from .alignment import Pair, cross_aligned, with_link_counts
 from .bitsliced import exact_top
-from .bpe import decoded, encoded
+from .bpe import encoded
 from .common import written
 from .linededup import drop_repeated_lines
 from .mixing import mixed
@@ -18,6 +18,7 @@ from .packing import packed
 from .pii import personal_spans
 from .quality import judged
 from .sharding import sharded
+from .trie import prefix_trie, turn_rows, with_shared_heads
 from .urlfilter import judged_urls
 
 
@@ -75,7 +76,7 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    texts = decoded(encoded(load(spark, sf_dir, "documents")))
+    texts = encoded(load(spark, sf_dir, "documents"), decode=True)
     numbers = F.array_join(F.col("ids").cast("array<string>"), " ")
     return texts.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(numbers.cast("binary"), 256).alias("ids_sha256"),
@@ -83,6 +84,10 @@ def op12_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie(with_shared_heads(turn_rows(load(spark, sf_dir, "conversations"))))
+
+
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
     "op2_nearest_neighbours": op2_nearest_neighbours,
@@ -96,4 +101,5 @@ QUERIES = {
     "op10_personal_data": op10_personal_data,
     "op11_token_alignment": op11_token_alignment,
     "op12_bpe_round_trip": op12_bpe_round_trip,
+    "op13_conversation_trie": op13_conversation_trie,
 }
