@@ -25,6 +25,7 @@ import json
 import os
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -35,16 +36,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..operators.skew import join_hot_keys
-from .bpe import bunches, byte_symbols
+from .bpe import byte_symbols, text_blocks
 from .common import enough_tasks, written
 
-BLOCK = 8_000_000  # bytes of text in a block
+BLOCK = 5_000_000  # bytes of text in a block
 MIN_HOT = 50_000
 HOT_SHARE = 1000  # pairs that more than 1/1000 of all (block, pair) rows name are split
 _BORDER = re.compile(r"(?<=\S) ")
 _BLANK = "▁"
 _OLD = re.compile("[\\x00-\u024f]*")  # letters and numbers of these are the same in every version of Unicode
-_RUN = 1000  # longer stretches are left to the tokenizer file's own library
+_TOGETHER = 2000  # stretches encoded as one text
+_RUN = 1000  # characters; longer stretches are left to the tokenizer file's own library
 
 
 def tokenizer_paths() -> tuple[str, str]:
@@ -155,39 +157,64 @@ class Pair:
         ranks = {self.bytes_a[i]: i for i in vocab.values()}
         return tiktoken.Encoding("a", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
 
-    def ids_a(self, stretches: list[str]) -> list[list[int]]:
-        found: list = [None] * len(stretches)
-        slow = []
-        for i, s in enumerate(stretches):
-            if self.quick and len(s) < _RUN and _OLD.fullmatch(s):
-                found[i] = self.quick(" " + s)
-            else:
-                slow.append(i)
-        for i, e in zip(slow, self.a.encode_batch_fast([" " + stretches[i] for i in slow], add_special_tokens=False), strict=True):
-            found[i] = e.ids
-        return found
+    def flat(self, stretches: list[str]) -> tuple[np.ndarray, ...]:
+        """(a, b, n_a, n_b, bad): ids of both sides one stretch after the other, their numbers, and stretches not given back."""
+        found = []
+        for at in range(0, len(stretches), _TOGETHER):
+            part = stretches[at : at + _TOGETHER]
+            found.append(self._together(part) or self._apart(part))
+        empty = np.empty(0, np.int64)
+        return tuple(np.concatenate([empty.astype(bool) if i == 4 else empty, *(f[i] for f in found)]) for i in range(5))
+
+    def _together(self, stretches: list[str]) -> tuple[np.ndarray, ...] | None:
+        """As one text, if every stretch ends in a visible character and all bytes come back."""
+        if not all(stretches) or any(s[-1].isspace() for s in stretches):
+            return None
+        text = " ".join(stretches)
+        quick = self.quick and _OLD.fullmatch(text) and max(map(len, stretches)) < _RUN
+        ids = (
+            self.quick(" " + text) if quick else self.a.encode(" " + text, add_special_tokens=False).ids,
+            self.b.encode(text),
+        )
+        whole = f" {text}".encode()
+        ends = np.cumsum([len(s) + 1 for s in (stretches if text.isascii() else map(str.encode, stretches))])
+        out = []
+        for tokens, table, lengths in zip(ids, (self.bytes_a, self.bytes_b), (self.len_a, self.len_b), strict=True):
+            if b"".join(map(table.__getitem__, tokens)) != whole:
+                return None
+            flat = np.array(tokens, np.int64)
+            out.append((flat, np.diff(np.searchsorted(np.cumsum(lengths[flat]), ends, "right"), prepend=0)))
+        return out[0][0], out[1][0], out[0][1], out[1][1], np.zeros(len(stretches), bool)
+
+    def _apart(self, stretches: list[str]) -> tuple[np.ndarray, ...]:
+        ids_a = [e.ids for e in self.a.encode_batch_fast([" " + s for s in stretches], add_special_tokens=False)]
+        ids_b = [ids if s else self.alone for s, ids in zip(stretches, self.b.encode(stretches, num_threads=1), strict=True)]
+        bad = np.zeros(len(stretches), bool)
+        for table, ids in ((self.bytes_a, ids_a), (self.bytes_b, ids_b)):
+            bad |= [b"".join(map(table.__getitem__, i)) != f" {s}".encode() for s, i in zip(stretches, ids, strict=True)]
+        for i in np.nonzero(bad)[0].tolist():
+            ids_a[i] = ids_b[i] = []
+        n_a, n_b = (np.fromiter(map(len, ids), np.int64, len(ids)) for ids in (ids_a, ids_b))
+        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, n_a), (ids_b, n_b)))
+        return a, b, n_a, n_b, bad
 
     def stretches(self, text: str) -> list[str]:
         """The blank and the text, cut before each blank that follows a visible character; the blank itself is left out."""
         return _BORDER.split(text) if self.by_stretch else [text]
 
 
+@lru_cache(maxsize=2)
+def pair_of(path_a: str | None, path_b: str | None) -> Pair:
+    """One pair per process and files."""
+    return Pair(path_a, path_b)
+
+
 class Aligned:
     """Distinct stretches, aligned: tokens, groups and links of each."""
 
     def __init__(self, pair: Pair, stretches: list[str]):
-        ids_a = pair.ids_a(stretches)
-        ids_b = [ids if s else pair.alone for s, ids in zip(stretches, pair.b.encode(stretches, num_threads=1), strict=True)]
         count = len(stretches)
-        self.bad = np.zeros(count, bool)
-        whole = "".join(f" {s}" for s in stretches).encode()
-        for table, ids in ((pair.bytes_a, ids_a), (pair.bytes_b, ids_b)):
-            if b"".join(map(table.__getitem__, chain.from_iterable(ids))) != whole:
-                self.bad |= [b"".join(map(table.__getitem__, i)) != f" {s}".encode() for s, i in zip(stretches, ids, strict=True)]
-        for i in np.nonzero(self.bad)[0].tolist():
-            ids_a[i] = ids_b[i] = []
-        self.n_a, self.n_b = (np.fromiter(map(len, ids), np.int64, count) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter(chain.from_iterable(ids), np.int64, int(n.sum())) for ids, n in ((ids_a, self.n_a), (ids_b, self.n_b)))
+        a, b, self.n_a, self.n_b, self.bad = pair.flat(stretches)
         own_a, own_b = np.repeat(np.arange(count), self.n_a), np.repeat(np.arange(count), self.n_b)
         first_a, first_b = np.cumsum(self.n_a) - self.n_a, np.cumsum(self.n_b) - self.n_b
         a_from = first_b[own_a] + np.arange(len(a)) - first_a[own_a]
@@ -242,15 +269,21 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListAr
 def _block(pair: Pair, number: int, doc_ids: pa.Array, texts: list[str]) -> Iterator[pa.RecordBatch]:
     index: dict[str, int] = {}
     rows = [[index.setdefault(s, len(index)) for s in pair.stretches(t)] if t else [] for t in texts]
-    found = Aligned(pair, list(index))
+    distinct = list(index)
+    order = sorted(range(len(distinct)), key=lambda i: not distinct[i] or distinct[i][-1].isspace())  # those in the way of others last
+    found = Aligned(pair, [distinct[i] for i in order])
+    renamed = np.empty(len(order), np.int64)
+    renamed[order] = np.arange(len(order))
     lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    flat = np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum()))
-    broken = _sums(found.bad[flat].astype(np.int64), np.cumsum(lengths)) > 0
+    flat = renamed[np.fromiter(chain.from_iterable(rows), np.int64, int(lengths.sum()))]
+    ends = np.cumsum(lengths)
+    groups = ["".join(map(found.groups.__getitem__, flat[s:e].tolist()))[:-1] or None for s, e in zip([0, *ends[:-1]], ends, strict=True)]
+    broken = _sums(found.bad[flat].astype(np.int64), ends) > 0
     flat = flat[~np.repeat(broken, lengths)]
     lengths[broken] = 0
     ends = np.cumsum(lengths)
     counts = [_sums(n[flat], ends) for n in (found.n_a, found.n_b, found.n_groups, found.n_links)]
-    groups = [None if broken[i] or not r else "".join(map(found.groups.__getitem__, r))[:-1] for i, r in enumerate(rows)]
+    groups = [None if b else g for g, b in zip(groups, broken.tolist(), strict=True)]
 
     size = max(len(index), 1)
     held, times = np.unique(np.repeat(np.arange(len(rows)), lengths) * size + flat, return_counts=True)
@@ -272,13 +305,13 @@ def _block(pair: Pair, number: int, doc_ids: pa.Array, texts: list[str]) -> Iter
         block=pa.array([number] * len(rows), pa.int64()), is_block=pa.array([False] * len(rows)), doc_id=doc_ids, groups=pa.array(groups, pa.string()),
         stretches=_lists(stretch, held_ends, pa.int32()), times=_lists(times, held_ends, pa.int32()), **names,
     )
-    renamed = np.cumsum(shown) - 1
+    shown_as = np.cumsum(shown) - 1
     kept = shown[local]
     links = _sums(kept.astype(np.int64), np.cumsum(found.n_links))
     yield batch(
         block=pa.array([number], pa.int64()), is_block=pa.array([True]), pairs=pa.array([pairs[shown]], pa.list_(pa.int64())),
         pair_texts=pa.array([texts_of_pair[shown]], pa.list_(pa.int64())), stretch_links=pa.array([links], pa.list_(pa.int32())),
-        stretch_pairs=pa.array([renamed[local[kept]]], pa.list_(pa.int32())),
+        stretch_pairs=pa.array([shown_as[local[kept]]], pa.list_(pa.int32())),
     )
 
 
@@ -294,25 +327,10 @@ def cross_aligned(docs: DataFrame, path_a: str | None = None, path_b: str | None
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pair, number = Pair(path_a, path_b), TaskContext.get().partitionId() << 32
-        ids: list[pa.Array] = []
-        texts: list[bytes] = []
-
-        def flush(most: int) -> Iterator[pa.RecordBatch]:
-            nonlocal number, ids, texts
-            doc_ids, at = pa.concat_arrays(ids), 0
-            for bunch in bunches(texts, most):
-                yield from _block(pair, number, doc_ids.slice(at, len(bunch)), [t.decode() for t in bunch])
-                number, at = number + 1, at + len(bunch)
-            ids, texts = [], []
-
-        for batch in batches:  # batches are smaller than blocks, so gather
-            ids.append(batch.column("doc_id"))
-            texts += [t or b"" for t in batch.column("text").cast(pa.binary()).to_pylist()]
-            if sum(map(len, texts)) >= block:
-                yield from flush(block)
-        if ids:
-            yield from flush(block)
+        pair, number = pair_of(path_a, path_b), TaskContext.get().partitionId() << 32
+        for ids, texts in text_blocks(batches, block):
+            yield from _block(pair, number, ids, [t.decode() for t in texts])
+            number += 1
 
     rows = enough_tasks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     return rows.mapInArrow(run, _DDL)

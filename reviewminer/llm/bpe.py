@@ -13,8 +13,8 @@ come before their use; a vocabulary that breaks it is merged word by word.
 
 Normalising and splitting into words follow the tokenizer file: for Latin
 letters by an equal pattern, else by the file's own components. Runs between
-ASCII white space are independent of each other and remembered, up to a bound
-after which all are forgotten.
+ASCII white space are independent of each other and remembered, up to a bound:
+then those not met again since half as many were new are forgotten.
 """
 
 from __future__ import annotations
@@ -25,17 +25,19 @@ import os
 import re
 from array import array
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 from itertools import chain, pairwise
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import enough_tasks
 
 BUNCH = 1_000_000  # bytes of text encoded together
-KNOWN = 400_000  # runs remembered
+KNOWN = 800_000  # runs remembered, and words
 LONG = 64  # bytes; longer runs are not remembered
 _NEVER = 1 << 40
 _LAST = 0x1000  # added to the code of a word's last symbol, which carries the end mark
@@ -78,6 +80,8 @@ class Merges:
             if self.birth[made] >= 0 or max(self.birth[x], self.birth[y]) >= rank:
                 self.regular = False
             self.birth[made], self.left[made], self.right[made] = rank, x, y
+        self.rank_of = {p: r for p, (r, _) in self.ranks.items()}
+        self.made = {r: t for r, t in self.ranks.values()}
         self.base = {s: i for s, i in ((self._shown(t), i) for t, i in vocab.items()) if len(s) == 1}
         keys = np.array([x * size + y for x, y in self.ranks], np.int64)
         order = np.argsort(keys)
@@ -148,9 +152,9 @@ class Merges:
         out, at, end = [], 0, len(symbols)
         while at < end:
             stop = min(end, at + reach.get(symbols[at : at + 2], 1))
-            while stop > at + 1 and symbols[at:stop] not in entries:
+            while (found := entries.get(symbols[at:stop])) is None:
                 stop -= 1
-            out.append(entries[symbols[at:stop]])
+            out.append(found)
             at = stop
         return out
 
@@ -160,19 +164,16 @@ class Merges:
         return self._merge_short(tokens) if len(tokens) <= _SHORT else self._merge_long(tokens)
 
     def _merge_short(self, tokens: list[int]) -> list[int]:
-        ranks, none = self.ranks, (_NEVER, -1)
-        facing = [ranks.get(p, none) for p in pairwise(tokens)]
-        while facing:
-            best = min(facing)
-            if best is none:
-                break
+        rank_of = self.rank_of.get
+        facing = [rank_of(p, _NEVER) for p in pairwise(tokens)]
+        while facing and (best := min(facing)) < _NEVER:
             i = facing.index(best)
-            tokens[i : i + 2] = [best[1]]
-            del facing[i]
+            tokens[i] = made = self.made[best]
+            del tokens[i + 1], facing[i]
             if i:
-                facing[i - 1] = ranks.get((tokens[i - 1], tokens[i]), none)
+                facing[i - 1] = rank_of((tokens[i - 1], made), _NEVER)
             if i < len(facing):
-                facing[i] = ranks.get((tokens[i], tokens[i + 1]), none)
+                facing[i] = rank_of((made, tokens[i + 1]), _NEVER)
         return tokens
 
     def _merge_long(self, tokens: list[int]) -> list[int]:
@@ -213,6 +214,25 @@ class Merges:
         return found
 
 
+class Memory:
+    """What was found for a key, in two generations of bounded size."""
+
+    def __init__(self):
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def missing(self, keys: Iterable) -> list:
+        """Keys that are not known, each once; known ones move to the present generation."""
+        new = set(keys).difference(self.now)
+        found = new.intersection(self.before)
+        self.now.update(zip(found, map(self.before.__getitem__, found), strict=True))
+        return list(new.difference(found))
+
+    def age(self) -> None:
+        if len(self.now) > KNOWN // 2:
+            self.now, self.before = {}, self.now
+
+
 class Encoder:
     """A tokenizer file of words: texts to ids and back."""
 
@@ -234,18 +254,22 @@ class Encoder:
         for piece, i in names.items():
             self.pieces[i] = piece
         self._shown = dict(enumerate(byte_symbols()))
-        self._runs: dict[bytes, bytes] = {}
-        self._words: dict[str, bytes] = {}
+        self._runs, self._words = Memory(), Memory()
 
     def _words_of(self, part: bytes) -> list[str]:
+        if part.isalpha():  # of ASCII
+            return [part.decode().lower()]
+        if part[:-1].isalpha() and part[-1:] in b".,;:!?":
+            return [part[:-1].decode().lower(), chr(part[-1])]
         text = part.decode()
         if _PLAIN.fullmatch(text):
             found = _PLAIN_WORDS.findall(text.lower())
             return [w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(self._shown) for w in found]
         return [w for w, _ in self.pre_tokenizer.pre_tokenize_str(self.normalizer.normalize_str(text))]
 
-    def _learn(self, runs: Iterable[bytes]) -> None:
-        plan: list[tuple[bytes, list[str | int]]] = []
+    def _learn(self, runs: list[bytes]) -> None:
+        """Find the ids of new runs."""
+        plan: list[list[str | int]] = []
         for run in runs:
             if b"<|" in run:
                 parts: list[str | int] = []
@@ -253,32 +277,34 @@ class Encoder:
                     parts += [self.added[part]] if part in self.added else self._words_of(part)
             else:
                 parts = self._words_of(run)
-            plan.append((run, parts))
+            plan.append(parts)
         merges, words = self.merges, self._words
-        new = list({w for _, parts in plan for w in parts if isinstance(w, str)}.difference(words))
-        for word, ids in zip(new, merges.encode([merges.symbols(w) for w in new]), strict=True):
-            words[word] = array("i", ids).tobytes()
-        for run, parts in plan:
-            self._runs[run] = b"".join([words[p] if isinstance(p, str) else np.int32(p).tobytes() for p in parts])
+        new = words.missing(w for w in chain.from_iterable(plan) if isinstance(w, str))
+        known = words.now
+        for word, ids in zip(new, merges.encode(list(map(merges.symbols, new))), strict=True):
+            known[word] = array("i", ids).tobytes()
+        found = self._runs.now
+        for run, parts in zip(runs, plan, strict=True):
+            if len(parts) == 1 and isinstance(parts[0], str):
+                found[run] = known[parts[0]]
+            else:
+                found[run] = b"".join([known[p] if isinstance(p, str) else np.int32(p).tobytes() for p in parts])
         for word in new:
             if len(word) > LONG:
-                del words[word]
+                del known[word]
+        words.age()
 
     def encode(self, texts: list[bytes]) -> list[np.ndarray]:
         """Ids of every text given in UTF-8."""
         split = [t.split() for t in texts]
-        new = set(chain.from_iterable(split)).difference(self._runs)
+        new = self._runs.missing(chain.from_iterable(split))
         self._learn(new)
-        known = self._runs
+        known = self._runs.now
         found = [np.frombuffer(b"".join(map(known.__getitem__, runs)), np.int32) for runs in split]
-        if len(known) > KNOWN:
-            known.clear()
-        else:
-            for run in new:
-                if len(run) > LONG:
-                    del known[run]
-        if len(self._words) > KNOWN:
-            self._words.clear()
+        for run in new:
+            if len(run) > LONG:
+                del known[run]
+        self._runs.age()
         return found
 
     def decode(self, ids: Iterable[int]) -> str:
@@ -286,22 +312,32 @@ class Encoder:
         return " ".join(map(self.pieces.__getitem__, ids))
 
 
-def bunches(texts: list[bytes], most: int = BUNCH) -> Iterator[list[bytes]]:
-    """Consecutive texts of at most ``most`` bytes together, or one longer text."""
-    bunch: list[bytes] = []
-    size = 0
-    for text in texts:
-        if bunch and size + len(text) > most:
-            yield bunch
-            bunch, size = [], 0
-        bunch.append(text)
-        size += len(text)
-    if bunch:
-        yield bunch
+@lru_cache(maxsize=2)
+def encoder_of(path: str) -> Encoder:
+    """One encoder per process and file: tasks that follow each other share what it knows."""
+    return Encoder(path)
 
 
-def texts_of(batch: pa.RecordBatch, column: str = "text") -> list[bytes]:
-    return [t or b"" for t in batch.column(column).cast(pa.binary()).to_pylist()]
+def text_blocks(batches: Iterable[pa.RecordBatch], most: int = BUNCH) -> Iterator[tuple[pa.Array, list[bytes]]]:
+    """(doc_ids, texts) of consecutive rows of at most ``most`` bytes together, or one longer text; null texts are empty."""
+    ids: list[pa.Array] = []
+    texts: list[bytes] = []
+    size = 0
+    for batch in batches:
+        column = batch.column("text").cast(pa.binary())
+        ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy().astype(np.int64))
+        at = done = 0
+        while at < len(ends):
+            stop = max(int(np.searchsorted(ends, done + most - size, "right")), at + (not texts))
+            if stop > at:
+                ids.append(batch.column("doc_id").slice(at, stop - at))
+                texts += [t or b"" for t in column.slice(at, stop - at).to_pylist()]
+                size, done, at = size + int(ends[stop - 1]) - done, int(ends[stop - 1]), stop
+            if at < len(ends):
+                yield pa.concat_arrays(ids), texts
+                ids, texts, size = [], [], 0
+    if ids:
+        yield pa.concat_arrays(ids), texts
 
 
 def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
@@ -309,31 +345,36 @@ def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([np.empty(0, np.int32), *arrays])))
 
 
-def encoded(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """(doc_id, ids) of docs(doc_id, text), one row for each row, read in whole and in place.
-
-    Null and empty texts have no ids. Null and repeated doc_ids are rows like
-    others, further columns are not read, an empty table gives an empty one.
-    """
+def _encoding(path: str | None, decode: bool):
+    names = ["doc_id", "ids", "decoded"][: 2 + decode]
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
-        for batch in batches:
-            at = 0
-            for bunch in bunches(texts_of(batch)):
-                ids = batch.column("doc_id").slice(at, len(bunch))
-                yield pa.RecordBatch.from_arrays([ids, _lists(encoder.encode(bunch))], names=["doc_id", "ids"])
-                at += len(bunch)
+        encoder = encoder_of(path or tokenizer_path())
+        for doc_ids, texts in text_blocks(batches):
+            found = encoder.encode(texts)
+            columns = [doc_ids, _lists(found)]
+            if decode:
+                columns.append(pa.array([encoder.decode(ids.tolist()) for ids in found], pa.string()))
+            yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return encode
 
+
+def encoded(docs: DataFrame, path: str | None = None, decode: bool = False) -> DataFrame:
+    """(doc_id, ids) of docs(doc_id, text), one row for each row, read in whole and in place; (.., decoded) on request.
+
+    Null and empty texts have no ids and decode to empty texts. Null and repeated doc_ids
+    are rows like others, further columns are not read, an empty table gives an empty one.
+    """
     rows = enough_tasks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
-    return rows.mapInArrow(encode, "doc_id bigint, ids array<int>")
+    return rows.mapInArrow(_encoding(path, decode), "doc_id bigint, ids array<int>" + ", decoded string" * decode)
 
 
 def decoded(tokens: DataFrame, path: str | None = None) -> DataFrame:
     """(doc_id, ids, decoded) of tokens(doc_id, ids); null lists decode to empty texts."""
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path)
+        encoder = encoder_of(path or tokenizer_path())
         for batch in batches:
             lists = batch.column("ids")
             texts = pa.array([encoder.decode(ids or ()) for ids in lists.to_pylist()], pa.string())

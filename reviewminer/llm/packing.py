@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Encoder, bunches, texts_of, tokenizer_path
+from .bpe import encoder_of, text_blocks, tokenizer_path
 from .common import enough_tasks
 
 LONGEST = 4096
@@ -39,17 +39,13 @@ def _cut(path: str | None, longest: int):
     schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder(path or tokenizer_path())
-        for batch in batches:
-            ids = batch.column("doc_id").to_pylist()
-            at = 0
-            for bunch in bunches(texts_of(batch)):
-                rows = []
-                for found in encoder.encode(bunch):
-                    tokens = np.append(found, CLOSING).astype("<u4")
-                    rows += [(ids[at], s, n, tokens[s : s + n].tobytes(), len(tokens)) for s, n in cuts(len(tokens), longest)]
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+        encoder = encoder_of(path or tokenizer_path())
+        for doc_ids, texts in text_blocks(batches):
+            rows = []
+            for doc_id, found in zip(doc_ids.to_pylist(), encoder.encode(texts), strict=True):
+                tokens = np.append(found, CLOSING).astype("<u4")
+                rows += [(doc_id, s, n, tokens[s : s + n].tobytes(), len(tokens)) for s, n in cuts(len(tokens), longest)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return cut
 
