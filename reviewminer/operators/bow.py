@@ -4,16 +4,18 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.wordlists import STOPWORDS
-from ..session import durable
+from ..session import fresh_path, stored
 from .ranking import with_positions
+from .ridge import SMALL, ridge
 from .skew import join_hot_keys
-from .tokens import _histogram, word_counts, word_lists
+from .tokens import _histogram, word_lists
 
 # Frequency cut, iterations and penalty of the word model.
 MIN_COUNT = 10
@@ -21,7 +23,6 @@ MAX_ITER = 10
 REG_PARAM = 0.01
 
 _MIN_HOT = 20_000
-SOLVER = "l-bfgs"  # the same for every vocabulary size
 
 
 def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
@@ -29,33 +30,41 @@ def vocabulary(counts: DataFrame, min_count: int = MIN_COUNT) -> DataFrame:
     return with_positions(counts.where(F.col("n") >= min_count), F.desc("n"), "word")
 
 
+def _sparse(rows: DataFrame, size: int, cells: Column) -> DataFrame:
+    """Add ``features``: the stored form of a sparse vector, written and read back as one."""
+    parts = F.struct(
+        F.lit(0).cast("tinyint").alias("type"), F.lit(size).alias("size"),
+        F.transform(cells, lambda c: c["pos"].cast("int")).alias("indices"), F.transform(cells, lambda c: c["tf"].cast("double")).alias("values"),
+    )
+    path = fresh_path(rows.sparkSession, "sparse-rows")
+    rows.withColumn("features", parts).write.parquet(path)
+    schema = T.StructType([*rows.schema.fields, T.StructField("features", VectorUDT())])
+    return rows.sparkSession.read.schema(schema).parquet(path)
+
+
 def bow_vectors(
     reviews: DataFrame, vocab: DataFrame, stopwords: Iterable[str] = STOPWORDS, keep: Iterable[str] = ()
 ) -> DataFrame:
     """(review_id, *keep, features): word counts per review as sparse vectors, one row per review.
 
     Words get their positions by a join that splits frequent ones; the
-    vocabulary stays a table. Only the coefficients of the model fitted on these
-    vectors, one number for every word, are on the driver.
+    vocabulary stays a table.
     """
     lists = word_lists(reviews, stopwords, keep).withColumn("words", _histogram(F.col("words")))
-    lists = durable(lists.withColumn("__row", F.monotonically_increasing_id()))
+    lists = stored(lists.withColumn("__row", F.monotonically_increasing_id()), "word-lists")
     found = vocab.agg(F.count(F.lit(1)).alias("size"), F.coalesce(F.sum("n"), F.lit(0)).alias("total")).first()
-    size, hot = found["size"], max(_MIN_HOT, found["total"] // 1000)
+    hot = max(_MIN_HOT, found["total"] // 1000)
     counts = lists.select("__row", F.inline("words")).withColumnRenamed("term", "word")
     placed = join_hot_keys(counts, vocab.select("word", "n", "pos"), "word", "n", hot)
     cells = placed.groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("pos", "tf"))).alias("cells"))
-
-    def sparse(cells):
-        return Vectors.sparse(size, [c.pos for c in cells or ()], [float(c.tf) for c in cells or ()])
-
     rows = lists.drop("words").join(cells, "__row", "left")
-    return rows.select("review_id", *keep, F.udf(sparse, VectorUDT())("cells").alias("features"))
+    none = F.array().cast("array<struct<pos:bigint,tf:bigint>>")
+    return _sparse(rows.withColumn("cells", F.coalesce("cells", none)), found["size"], F.col("cells")).select("review_id", *keep, "features")
 
 
 def fit(points: DataFrame, max_iter: int = MAX_ITER, reg_param: float = REG_PARAM) -> LinearRegressionModel:
-    """Ridge regression of (label, features) points."""
-    return LinearRegression(maxIter=max_iter, regParam=reg_param, solver=SOLVER).fit(points)
+    """Ridge regression of (label, features) points whose coefficients fit the driver; small ones are solved directly."""
+    return LinearRegression(maxIter=max_iter, regParam=reg_param).fit(points)
 
 
 def bow_points(
@@ -69,29 +78,68 @@ def bow_points(
     return rows.select(F.coalesce(F.col("overall").cast("double"), F.lit(default)).alias("label"), "features")
 
 
-def bow_regression(
+def _labelled(lists: DataFrame, rated: DataFrame | None, default: float) -> DataFrame:
+    """(row, grp, label) of every list; ratings meet narrow rows."""
+    if rated is None:
+        rows = lists.select("row", "grp", "overall")
+    else:
+        rows = lists.select("row", "grp", "review_id").join(rated.select("review_id", "overall"), "review_id", "left")
+    return rows.select("row", "grp", F.coalesce(F.col("overall").cast("double"), F.lit(default)).alias("label"))
+
+
+def _placed(lists: DataFrame, vocab: DataFrame) -> DataFrame:
+    """(row, cells): the words of every list as (pos, tf), words outside the vocabulary left out."""
+    words = lists.select("row", F.col("grp"), F.inline("words"))
+    key = F.struct(F.col("grp"), F.col("term"))
+    known = vocab.select(F.struct(F.col("grp"), F.col("word").alias("term")).alias("key"), "held", "pos")
+    words = words.select("row", "tf", key.alias("key"))
+    if vocab.limit(SMALL + 1).count() > SMALL:
+        total = vocab.agg(F.sum("held")).first()[0]
+        met = join_hot_keys(words, known, "key", "held", max(_MIN_HOT, total // 1000))
+    else:
+        met = words.join(F.broadcast(known.drop("held")), "key")
+    return met.groupBy("row").agg(F.collect_list(F.struct("pos", "tf")).alias("cells"))
+
+
+def bow_models(
     reviews: DataFrame,
+    column: str | None = None,
     rated: DataFrame | None = None,
     default: float = 3.0,
     *,
     min_count: int = MIN_COUNT,
     stopwords: Iterable[str] = STOPWORDS,
+    max_iter: int = MAX_ITER,
+    reg_param: float = REG_PARAM,
 ) -> DataFrame:
-    """(word, n, coef) of the model rating ~ word counts.
+    """(group, word, n, coef): one model rating ~ word counts for each value of ``column`` (or one in all), in one job.
 
-    Ratings come with the reviews (``overall``) or as ``rated(review_id, overall)``.
+    Each group has its own vocabulary. Ratings come with the reviews (``overall``)
+    or as ``rated(review_id, overall)``, one row per id; others get ``default``. Every review with a
+    text is a row, also one without known words, and null is a group like others.
+    Texts are tokenised once; words, vocabularies and coefficients stay tables.
     """
-    spark = reviews.sparkSession
-    vocab = vocabulary(word_counts(reviews, stopwords), min_count)
-    if not vocab.limit(1).count():
-        return vocab.select("word", "n", F.lit(0.0).alias("coef"))
-    coefficients = fit(bow_points(reviews, vocab, rated, default, stopwords)).coefficients
-    cells = ((i, float(c)) for i, c in enumerate(coefficients))  # the model lives on the driver anyway
-    table = spark.createDataFrame(list(cells), "pos long, coef double")
-    return vocab.join(table, "pos").select("word", "n", "coef")
+    keep = [c for c in (column, None if rated is not None else "overall") if c]
+    lists = word_lists(reviews, stopwords, keep).withColumn("words", _histogram(F.col("words")))
+    group = F.struct((F.col(column) if column else F.lit(0)).alias("value"))
+    lists = stored(lists.withColumns({"row": F.monotonically_increasing_id(), "grp": group}), "word-lists")
+    counts = lists.select("grp", F.inline("words")).groupBy("grp", F.col("term").alias("word"))
+    counts = counts.agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("held")).where(F.col("n") >= min_count)
+    vocab = stored(with_positions(counts, "grp", F.desc("n"), "word"), "vocabulary")
+    none = F.array().cast("array<struct<pos:bigint,tf:bigint>>")
+    rows = _labelled(lists, rated, default).join(_placed(lists, vocab), "row", "left")
+    rows = stored(rows.withColumn("cells", F.coalesce("cells", none)), "bow-rows")
+    found = ridge(rows, vocab.select("pos", "grp", "held"), reg_param, max_iter)
+    return vocab.join(found, "pos").select(F.col("grp.value").alias("group"), "word", "n", "coef")
+
+
+def bow_regression(reviews: DataFrame, rated: DataFrame | None = None, default: float = 3.0, **options) -> DataFrame:
+    """(word, n, coef) of one model rating ~ word counts over all reviews; options as for ``bow_models``."""
+    return bow_models(reviews, None, rated, default, **options).select("word", "n", "coef")
 
 
 def bow_regression_by(reviews: DataFrame, column: str, **options) -> dict[str, DataFrame]:
-    """One model per value of ``column`` (for instance ``source_file``)."""
-    groups = [row[0] for row in reviews.select(column).distinct().orderBy(column).collect()]
-    return {g: bow_regression(reviews.where(F.col(column) == F.lit(g)), **options) for g in groups}
+    """The models of ``bow_models`` by group, for few groups: their names, and nothing else, come to the driver."""
+    models = stored(bow_models(reviews, column, **options), "bow-models")
+    names = [row[0] for row in models.select("group").distinct().orderBy("group").collect()]
+    return {g: models.where(F.col("group").eqNullSafe(F.lit(g))).select("word", "n", "coef") for g in names}

@@ -1,13 +1,13 @@
 """Cosine similarity of all pairs, exact, and the matrix view of vectors.
 
-Vectors are hashed into blocks of bounded size; every pair of blocks is one
-group, compared with one matrix product. Only pairs above the threshold (or a
-spanning forest of them) leave a group.
+Vectors are dealt into pieces of bounded size that lie close together; every pair
+of pieces that can hold a similar pair (``balls``) is one group, compared with one
+matrix product. Only pairs above the threshold (or a spanning forest of them) leave
+a group.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable
 
 import numpy as np
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import durable
+from .balls import Balls, balls
 from .skew import join_hot_keys
 
 BLOCK_ROWS = 2048
@@ -67,14 +68,19 @@ def _kept(vectors: DataFrame) -> DataFrame:
     return durable(distinct_vectors(vectors.where(has_direction(F.col("vector")))))
 
 
-def _block_pairs(kept: DataFrame, block_rows: int) -> DataFrame:
-    """Rows (bi, bj, b, id, vector): each vector once per pair of blocks it is in."""
-    blocks = max(1, math.ceil(kept.count() / block_rows))
-    block = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")
-    placed = kept.select("id", unit(F.col("vector")).alias("vector"), block.alias("b"))
-    return placed.withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).select(
-        F.least("b", "k").alias("bi"), F.greatest("b", "k").alias("bj"), "b", "id", "vector"
-    )
+def _meeting(kept: DataFrame, threshold: float, block_rows: int) -> Balls:
+    return balls(kept.select("id", "vector"), threshold, block_rows, unit(F.col("vector")))
+
+
+def _block_pairs(kept: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+    """Rows (bi, bj, b, id, vector): each vector once per pair of pieces it is in."""
+    placed = _meeting(kept, threshold, block_rows)
+    return placed.pairs(placed.placed)
+
+
+def skipped_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> float:
+    """The share of all pairs of distinct vectors that ``similar_pairs`` never compares."""
+    return _meeting(_kept(vectors), threshold, block_rows).skipped()
 
 
 Side = tuple[np.ndarray, np.ndarray]
@@ -130,7 +136,7 @@ def _pairs_of(kept: DataFrame, vectors: DataFrame, threshold: float, block_rows:
     schema = T.StructType(
         [T.StructField("id_a", kind), T.StructField("id_b", kind), T.StructField("cosine", T.DoubleType())]
     )
-    pairs = _block_pairs(kept, block_rows)
+    pairs = _block_pairs(kept, threshold, block_rows)
     return pairs.groupBy("bi", "bj").applyInPandas(_pairs_above(threshold), schema)
 
 
@@ -184,7 +190,7 @@ def connectivity_edges(vectors: DataFrame, threshold: float, block_rows: int = B
     kind = vectors.schema["id"].dataType
     schema = T.StructType([T.StructField("src", kind), T.StructField("dst", kind)])
     kept = _kept(vectors)
-    forest = _block_pairs(kept, block_rows).groupBy("bi", "bj").applyInPandas(_forest(threshold), schema)
+    forest = _block_pairs(kept, threshold, block_rows).groupBy("bi", "bj").applyInPandas(_forest(threshold), schema)
     usable = vectors.where(has_direction(F.col("vector")))
     copies = vector_copies(usable, kept).select(F.col("id").alias("src"), F.col("copy_of").alias("dst"))
     return forest.unionByName(copies)
