@@ -41,6 +41,7 @@ KNOWN = 800_000  # runs remembered, and words
 LONG = 64  # bytes; longer runs are not remembered
 _NEVER = 1 << 40
 _LAST = 0x1000  # added to the code of a word's last symbol, which carries the end mark
+_FEW = 3  # symbols that tell which lengths of tokens are worth a look
 _SHORT = 24  # symbols; longer words are merged with a queue
 
 # Below U+0180, two white spaces and one capital of two lower-case letters aside, every character is its own
@@ -88,10 +89,11 @@ class Merges:
         self._keys = keys[order]
         self._key_ranks = np.array([r for r, _ in self.ranks.values()], np.int64)[order]
         self.entries = {self._shown(t): i for t, i in vocab.items() if i in self._usable()} if self.regular else {}
-        self.reach: dict[str, int] = {}
+        lengths: dict[str, set[int]] = {}
         for s in self.entries:
-            if len(s) > 1:
-                self.reach[s[:2]] = max(self.reach.get(s[:2], 1), len(s))
+            if len(s) >= _FEW:
+                lengths.setdefault(s[:_FEW], set()).add(len(s))
+        self.lengths = {s: tuple(sorted(found, reverse=True)) for s, found in lengths.items()}
 
     def _shown(self, token: str) -> str:
         """The token with one character per symbol."""
@@ -145,17 +147,21 @@ class Merges:
 
     def propose(self, symbols: str) -> list[int]:
         """Greedy longest match."""
-        entries, reach = self.entries, self.reach
-        found = entries.get(symbols)
+        entry, lengths = self.entries.get, self.lengths.get
+        found = entry(symbols)
         if found is not None:
             return [found]
         out, at, end = [], 0, len(symbols)
         while at < end:
-            stop = min(end, at + reach.get(symbols[at : at + 2], 1))
-            while (found := entries.get(symbols[at:stop])) is None:
-                stop -= 1
+            for many in lengths(symbols[at : at + _FEW], ()):
+                if at + many <= end and (found := entry(symbols[at : at + many])) is not None:
+                    break
+            else:
+                many = min(_FEW - 1, end - at)
+                while (found := entry(symbols[at : at + many])) is None:
+                    many -= 1
             out.append(found)
-            at = stop
+            at += many
         return out
 
     def merge(self, symbols: str) -> list[int]:
