@@ -77,6 +77,7 @@ class Balls:
     shells: pd.DataFrame
     partners: DataFrame
     meets: np.ndarray
+    pivots: np.ndarray
 
     def pairs(self, rows: DataFrame) -> DataFrame:
         """(bi, bj, b, ...): each of ``rows``, placed ones or some of them, once for each pair of pieces it is in."""
@@ -143,4 +144,4 @@ def balls(vectors: DataFrame, threshold: float, block_rows: int, unit: Column, h
     partners = spark.createDataFrame(lists, "shell long, held long, pieces long, with array<struct<shell: long, pieces: long>>")
     placed = placed.join(F.broadcast(partners.select("shell", "pieces")), "shell")
     placed = placed.withColumn("piece", F.pmod(F.xxhash64(hashed), F.col("pieces")))
-    return Balls(placed.select(*rows.columns, "shell", "piece"), shells, partners.drop("pieces"), meets)
+    return Balls(placed.select(*rows.columns, "shell", "piece"), shells, partners.drop("pieces"), meets, centres)
