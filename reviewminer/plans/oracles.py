@@ -7,10 +7,12 @@ from ..functions.text import TOKEN_PATTERN
 from ..functions.wordlists import STOPWORDS
 from ..operators.bow import MIN_COUNT
 from ..operators.clusters import TOP
+from ..operators.filters import PRESET_PRICES
+from ..operators.synonyms import DIGITS
 from ..operators.templates import COMPOUND_NOUN
 from ..operators.weights import MIN_WINDOWS, REG_PARAM
 from .parameters import (
-    BRAND, CATEGORY, CHAIN_PRICES, PRICES, SAMPLE_FRACTION, SAMPLE_SEED, SIMILAR_ASIN, TOP_TERMS, VECTOR_THRESHOLD,
+    BRAND, CATEGORY, CHAIN_PRICES, PRICES, SAMPLE_FRACTION, SAMPLE_SEED, SIMILAR_ASIN, SYNONYMS, TOP_TERMS, VECTOR_THRESHOLD,
 )
 
 
@@ -218,6 +220,23 @@ ORACLES: dict[str, str] = {
     "template_accepts": f"""WITH {NGRAMS} SELECT r.review_id, n.review_id IS NOT NULL AS accepted
         FROM reviews r LEFT JOIN ngrams n ON r.review_id = n.review_id""",
     "ngram_counts": f"WITH {NGRAMS} SELECT w2, modifier, feature, count(*) AS cnt FROM ngrams GROUP BY ALL",
+    "filter_preset": f"WITH {PRODUCTS} {LISTED} WHERE {IN_CATEGORY} AND price BETWEEN {PRESET_PRICES[0]} AND {PRESET_PRICES[1]}",
+    "reviews_json": """SELECT CAST(d.doc_id AS VARCHAR) || ':' || CAST(d.doc_id % 200 AS VARCHAR) || ':0' AS review_id, length(text) AS n_chars,
+        CASE WHEN l.doc_id IS NULL THEN 0.0 WHEN quality = 1 THEN 5.0 WHEN quality = 0 THEN 1.0 ELSE 3.0 END::DOUBLE AS overall, true AS no_name
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
+    "clusters_no_singletons": f"WITH {EXACT} SELECT * FROM clusters WHERE n_ngrams > 1",
+    "feature_vectors": f"""WITH {MATCHES}, found AS (SELECT {_NGRAM.format(
+        feature=f"CASE WHEN next_tag IN ({NOUN}) THEN word || ' ' || next_word ELSE word END")} FROM matched {_FIRST}), {VECTORS},
+        words AS (SELECT feature, unnest(string_split(feature, ' ')) AS word FROM (SELECT DISTINCT feature FROM found)),
+        parts AS (SELECT feature, unnest(range(len(v))) AS k, unnest(v) AS x FROM words JOIN vectors
+          ON id = CAST('0x' || left(md5(word), 8) AS BIGINT) % (SELECT count(*) FROM embeddings))
+        SELECT feature, CAST(k AS BIGINT) AS k, round(avg(x), 6) AS value FROM parts GROUP BY feature, k""",
+    "vector_synonyms": f"""WITH {VECTORS},
+        usable AS (SELECT id, v FROM vectors WHERE list_sum(list_transform(v, lambda x: x * x)) > 0),
+        scored AS (
+          SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), {DIGITS}) AS cosine FROM usable a JOIN usable b ON a.id <> b.id)
+        SELECT id, row_number() OVER w AS rank, other, round(cosine, 6) + 0.0::DOUBLE AS cosine FROM scored
+        WINDOW w AS (PARTITION BY id ORDER BY cosine DESC, other) QUALIFY rank <= {SYNONYMS}""",
     "clusters_exact": f"WITH {EXACT} SELECT * FROM clusters",
     "clusters_top": f"WITH {TOP_CLUSTERS} SELECT rank, feature, representative, n_reviews, n_ngrams FROM top",
     "clusters_allpairs": allpairs("feature"),

@@ -9,3 +9,4 @@ SAMPLE_SEED = 7
 SIMILAR_ASIN = "25"
 VECTOR_THRESHOLD = 0.3
 TOP_TERMS = 3
+SYNONYMS = 10

@@ -7,13 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bow, clusters, embeddings, filters, graph, similarity, templates, tfidf, tokens, weights
+from ..operators import bow, clusters, embeddings, filters, graph, similarity, synonyms, templates, tfidf, tokens, weights
 from ..schemas import REVIEW
 from ..session import fresh_path
 from ..sources import json_lines, reports, tables
 from . import pipeline
 from .parameters import (
-    BRAND, CATEGORY, CHAIN_PRICES, PRICES, SAMPLE_FRACTION, SAMPLE_SEED, SIMILAR_ASIN, TOP_TERMS, VECTOR_THRESHOLD,
+    BRAND, CATEGORY, CHAIN_PRICES, PRICES, SAMPLE_FRACTION, SAMPLE_SEED, SIMILAR_ASIN, SYNONYMS, TOP_TERMS, VECTOR_THRESHOLD,
 )
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,6 +68,26 @@ def review_json_columns(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def filter_preset(spark: SparkSession, d: str) -> DataFrame:
+    """The preset product filter; in the given tables the parts of one category stand for its category."""
+    renamed = F.transform("categories", lambda path: F.transform(path, lambda c: F.when(c == CATEGORY, filters.PRESET_CATEGORY).otherwise(c)))
+    return _listed(tables.products(spark, d).withColumn("categories", renamed).transform(filters.preset()))
+
+
+def reviews_json(spark: SparkSession, d: str) -> DataFrame:
+    """All reviews written as JSON lines and read as a source, with what tells the records apart."""
+    rated = tables.ratings(spark, d)
+    made = tables.review_texts(spark, d).select(F.col("review_id").alias("reviewerID"), "asin", "reviewText", F.lit(0).alias("unixReviewTime"))
+    made = made.join(rated.withColumnRenamed("review_id", "reviewerID"), "reviewerID", "left")
+    path = fresh_path(spark, "reviews")
+    json_lines.write_json(made, path)
+    back = json_lines.good_records(json_lines.read_reviews(spark, path, glob="*.json"))
+    return back.select(
+        F.regexp_replace("review_id", ":[0-9a-f]{16}$", "").alias("review_id"), F.length("reviewText").cast("long").alias("n_chars"),
+        F.col("overall").cast("double").alias("overall"), F.col("reviewerName").isNull().alias("no_name"),
+    )
+
+
 def reviews_of_products(spark: SparkSession, d: str) -> DataFrame:
     reviews = tables.review_texts(spark, d).select("review_id", "asin")
     return filters.reviews_of_products(reviews, filters.product_ids(_ring(spark, d))).select("review_id", "asin")
@@ -184,6 +204,18 @@ def _vector_clusters(algorithm: str, key: str = "feature") -> Query:
     return run
 
 
+def clusters_no_singletons(spark: SparkSession, d: str) -> DataFrame:
+    return _clusters(_mined(spark, d, drop_singletons=True))
+
+
+def feature_vectors(spark: SparkSession, d: str) -> DataFrame:
+    """(feature, k, value): features of one or two words with the mean of their words' vectors."""
+    found = templates.extract_ngrams(tables.review_texts(spark, d), templates.COMPOUND_NOUN).select("feature").distinct()
+    words = found.select(F.explode(F.split("feature", " ")).alias("word")).distinct()
+    vectors = embeddings.phrase_vectors(found, _hashed_vectors(spark, d, words))
+    return vectors.select("feature", F.posexplode("vector").alias("k", "v")).select("feature", *_long("k"), F.round("v", 6).alias("value"))
+
+
 def cluster_members(spark: SparkSession, d: str) -> DataFrame:
     members = _mined(spark, d).members()
     return members.select("cluster_id", "w2", "modifier", "feature", *_long("cnt"))
@@ -241,6 +273,17 @@ def bow_regression(spark: SparkSession, d: str) -> DataFrame:
     return bow.bow_regression(tables.review_texts(spark, d), tables.ratings(spark, d))
 
 
+def bow_regression_by_source(spark: SparkSession, d: str) -> DataFrame:
+    """A model for each source, all in one job."""
+    reviews = tables.review_texts(spark, d)
+    return bow.bow_models(reviews, "source", tables.ratings(spark, d)).withColumnRenamed("group", "source")
+
+
+def vector_synonyms(spark: SparkSession, d: str) -> DataFrame:
+    found = synonyms.nearest_by_cosine(tables.vectors(spark, d), SYNONYMS)
+    return found.select("id", *_long("rank"), "other", _digits("cosine", 6))
+
+
 def _trained(spark: SparkSession, lists: DataFrame, size: int):
     return embeddings.train(lists, size, partitions=spark.sparkContext.defaultParallelism)
 
@@ -260,6 +303,7 @@ def word2vec_synonyms(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "filter_brand": _filtered(filters.brand(BRAND)),
+    "filter_preset": filter_preset,
     "filter_category": _filtered(filters.category(CATEGORY)),
     "filter_price": _filtered(filters.price(*PRICES)),
     "filter_similar": filter_similar,
@@ -267,6 +311,7 @@ QUERIES: dict[str, Query] = {
     "filter_sample_hash": _filtered(filters.sample_by_hash(SAMPLE_FRACTION, SAMPLE_SEED)),
     "product_json_roundtrip": product_json_roundtrip,
     "review_json_columns": review_json_columns,
+    "reviews_json": reviews_json,
     "reviews_of_products": reviews_of_products,
     "tokens_clean": tokens_clean,
     "tagged_words": tagged_words,
@@ -284,6 +329,8 @@ QUERIES: dict[str, Query] = {
     "template_accepts": template_accepts,
     "ngram_counts": ngram_counts,
     "clusters_exact": clusters_exact,
+    "clusters_no_singletons": clusters_no_singletons,
+    "feature_vectors": feature_vectors,
     "clusters_top": clusters_top,
     "clusters_similarity": _vector_clusters("similarity"),
     "clusters_allpairs": _vector_clusters("allpairs"),
@@ -300,6 +347,8 @@ QUERIES: dict[str, Query] = {
     "components": components,
     "matrix_transpose": matrix_transpose,
     "bow_regression": bow_regression,
+    "bow_regression_by_source": bow_regression_by_source,
+    "vector_synonyms": vector_synonyms,
     "word2vec_vectors": word2vec_vectors,
     "word2vec_synonyms": word2vec_synonyms,
     "feature_report": feature_report,

@@ -49,13 +49,14 @@ def read_reviews(spark: SparkSession, path: Paths, on_error: str = "quarantine",
     """Reviews of a file, a folder or several of them, plain or compressed.
 
     ``glob`` limits a read to file names, such as ``*.json``; all are read without it.
-
-
     ``source_file`` tells the files apart, so per-file work is a grouping.
-    ``review_id`` joins reviewer, product and time.
+    ``review_id`` joins reviewer, product and time, an absent one as ``-``, and a
+    digest of the text, so that unlike records have unlike ids.
     """
     df = _zero_defaults(_records(spark, path, REVIEW, on_error, glob).drop("value"), REVIEW)
-    return df.withColumn("review_id", F.concat_ws(":", "reviewerID", "asin", "unixReviewTime"))
+    parts = [F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in ("reviewerID", "asin", "unixReviewTime")]
+    digest = F.substring(F.md5(F.to_json(F.struct("reviewText", "summary", "overall")).cast("binary")), 1, 16)
+    return df.withColumn("review_id", F.concat_ws(":", *parts, digest))
 
 
 def read_products(spark: SparkSession, path: Paths, on_error: str = "quarantine", glob: str | None = None) -> DataFrame:
