@@ -24,10 +24,11 @@ import json
 import os
 import re
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 from itertools import chain, pairwise
 
+import ahocorasick
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -41,7 +42,7 @@ KNOWN = 800_000  # runs remembered, and words
 LONG = 64  # bytes; longer runs are not remembered
 _NEVER = 1 << 40
 _LAST = 0x1000  # added to the code of a word's last symbol, which carries the end mark
-_FEW = 3  # symbols that tell which lengths of tokens are worth a look
+_APART = "\x00"  # between words; no symbol of a vocabulary
 _SHORT = 24  # symbols; longer words are merged with a queue
 
 # Below U+0180, two white spaces and one capital of two lower-case letters aside, every character is its own
@@ -89,11 +90,10 @@ class Merges:
         self._keys = keys[order]
         self._key_ranks = np.array([r for r, _ in self.ranks.values()], np.int64)[order]
         self.entries = {self._shown(t): i for t, i in vocab.items() if i in self._usable()} if self.regular else {}
-        lengths: dict[str, set[int]] = {}
-        for s in self.entries:
-            if len(s) >= _FEW:
-                lengths.setdefault(s[:_FEW], set()).add(len(s))
-        self.lengths = {s: tuple(sorted(found, reverse=True)) for s, found in lengths.items()}
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        for shown, i in self.entries.items():
+            self.automaton.add_word(shown, i)
+        self.automaton.make_automaton()
 
     def _shown(self, token: str) -> str:
         """The token with one character per symbol."""
@@ -145,24 +145,12 @@ class Merges:
             x, y = np.where(first, self.right[x], x), np.where(first, y, self.left[y])
         return fine
 
-    def propose(self, symbols: str) -> list[int]:
-        """Greedy longest match."""
-        entry, lengths = self.entries.get, self.lengths.get
-        found = entry(symbols)
-        if found is not None:
-            return [found]
-        out, at, end = [], 0, len(symbols)
-        while at < end:
-            for many in lengths(symbols[at : at + _FEW], ()):
-                if at + many <= end and (found := entry(symbols[at : at + many])) is not None:
-                    break
-            else:
-                many = min(_FEW - 1, end - at)
-                while (found := entry(symbols[at : at + many])) is None:
-                    many -= 1
-            out.append(found)
-            at += many
-        return out
+    def propose(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, numbers): the longest match from the left, again and again, of all words; every symbol is a token, so nothing is skipped."""
+        text = _APART.join(words)
+        found = np.fromiter(chain.from_iterable(self.automaton.iter_long(text)), np.int64).reshape(-1, 2)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
+        return found[:, 1], np.diff(np.searchsorted(found[:, 0], ends, "left"), prepend=0)
 
     def merge(self, symbols: str) -> list[int]:
         """Exact merging: always the earliest merge, the leftmost of equals."""
@@ -204,19 +192,20 @@ class Merges:
                 heapq.heappush(queue, (*ranks[tokens[h], made], h, tokens[h], made))
         return [t for t in tokens if t >= 0]
 
-    def encode(self, words: list[str]) -> list[list[int]]:
-        """Tokens of every word (symbols as given by ``symbols``)."""
+    def encode(self, words: list[str], exact: Callable[[str], list[int]] | None = None) -> list[list[int]]:
+        """Tokens of every word (symbols as given by ``symbols``); ``exact`` merges those whose proposal fails."""
+        exact = exact or self.merge
         if not self.regular:
-            return [self.merge(w) for w in words]
-        found = [self.propose(w) for w in words]
-        lengths = np.fromiter(map(len, found), np.int64, len(found))
-        flat = np.fromiter(chain.from_iterable(found), np.int64, int(lengths.sum()))
-        owner = np.repeat(np.arange(len(found)), lengths)
+            return [exact(w) for w in words]
+        flat, lengths = self.propose(words)
+        owner = np.repeat(np.arange(len(words)), lengths)
         inside = np.nonzero(owner[:-1] == owner[1:])[0]
         pairs, back = np.unique(flat[inside] * self.size + flat[inside + 1], return_inverse=True)
         fine = self.compatible(pairs // self.size, pairs % self.size)[back]
+        tokens, ends = flat.tolist(), np.cumsum(lengths).tolist()
+        found = [tokens[s:e] for s, e in zip([0, *ends], ends, strict=False)]
         for i in np.unique(owner[inside[~fine]]).tolist():
-            found[i] = self.merge(words[i])
+            found[i] = exact(words[i])
         return found
 
 
@@ -252,7 +241,7 @@ class Encoder:
             spec = json.load(file)
         model = spec["model"]
         self.merges = Merges(model["vocab"], map(tuple, model["merges"]), model["end_of_word_suffix"] or "")
-        self.normalizer, self.pre_tokenizer = tokenizer.normalizer, tokenizer.pre_tokenizer
+        self.normalizer, self.pre_tokenizer, self._model = tokenizer.normalizer, tokenizer.pre_tokenizer, tokenizer.model
         self.added = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self._split = re.compile(b"(" + b"|".join(re.escape(t) for t in sorted(self.added, key=len, reverse=True)) + b")")
         names = model["vocab"] | {t["content"]: t["id"] for t in spec["added_tokens"]}
@@ -262,6 +251,11 @@ class Encoder:
         self._shown = dict(enumerate(byte_symbols()))
         self._runs, self._words = Memory(), Memory()
 
+    def _merged(self, symbols: str) -> list[int]:
+        """Exact merging by the file's own model, which sets the end mark itself."""
+        word = symbols[:-1] + chr(ord(symbols[-1]) - _LAST) if self.merges.end_mark else symbols
+        return [token.id for token in self._model.tokenize(word)]
+
     def _words_of(self, part: bytes) -> list[str]:
         if part.isalpha():  # of ASCII
             return [part.decode().lower()]
@@ -287,7 +281,7 @@ class Encoder:
         merges, words = self.merges, self._words
         new = words.missing(w for w in chain.from_iterable(plan) if isinstance(w, str))
         known = words.now
-        for word, ids in zip(new, merges.encode(list(map(merges.symbols, new))), strict=True):
+        for word, ids in zip(new, merges.encode(list(map(merges.symbols, new)), self._merged), strict=True):
             known[word] = array("i", ids).tobytes()
         found = self._runs.now
         for run, parts in zip(runs, plan, strict=True):

@@ -57,7 +57,9 @@ def test_accepted_proposals_are_exact(encoder):
     assert merges.regular
     draw = random.Random(9)
     words = [merges.symbols("".join(draw.choice("etaoinshr") for _ in range(draw.randint(1, 12)))) for _ in range(3000)]
-    proposals = [merges.propose(w) for w in words]
+    flat, lengths = merges.propose(words)
+    ends = np.cumsum(lengths).tolist()
+    proposals = [flat[a:b].tolist() for a, b in zip([0, *ends], ends, strict=False)]
     exact = [merges.merge(w) for w in words]
     for proposal, found in zip(proposals, exact, strict=True):
         pairs = np.array(list(zip(proposal, proposal[1:], strict=False)), np.int64).reshape(-1, 2)
@@ -66,6 +68,21 @@ def test_accepted_proposals_are_exact(encoder):
     assert merges.encode(words) == exact
 
 
+def test_proposals_are_longest_matches(encoder):
+    merges = encoder.merges
+    draw = random.Random(10)
+    words = [merges.symbols("".join(draw.choice("etaoinshrqxé") for _ in range(draw.randint(1, 40)))) for _ in range(500)]
+    flat, lengths = merges.propose(words)
+    found = []
+    for word in words:
+        at = 0
+        while at < len(word):
+            end = next(e for e in range(len(word), at, -1) if word[at:e] in merges.entries)
+            found.append(merges.entries[word[at:end]])
+            at = end
+    assert flat.tolist() == found and lengths.sum() == len(found)
+
+
 def test_small_vocabularies_without_an_end_mark():
     draw = random.Random(3)
     for _ in range(60):
