@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import components
 from ..operators.skew import join_hot_keys
 from . import setsketch
-from .common import enough_tasks, written
+from .common import discard, enough_tasks, written
 from .shingles import WordHashes, fingerprint, in_bunches, shingle_set
 
 THRESHOLD = 75  # per cent
@@ -174,7 +174,9 @@ def _compared(rows: DataFrame, threshold: int, label: str) -> DataFrame:
     """(src, dst) for rows with ``block``, ``low`` and ``high`` (the two blocks that meet) and ``part`` (the task)."""
     columns = ["rep", "label", "n_shingles", "regs", "hashes", "component", "block", "low", "high", "part"]
     found = rows.select(*columns).groupBy("part").applyInArrow(_confirm(threshold), "src bigint, dst bigint")
-    return written(found, label)
+    found = written(found, label)
+    discard(rows)
+    return found
 
 
 def _inside_blocks(rows: DataFrame, seed: int, total: int, threshold: int) -> DataFrame:
@@ -235,11 +237,14 @@ def _confirmed_links(docs: DataFrame, members: DataFrame, threshold: int) -> Dat
     links = _inside_blocks(sets.withColumn("label", F.col("rep")), 1, total, threshold)
     large = sets.where("pieces > 1")
     if not large.limit(1).count():
+        discard(sets, sets)
         return links
     for seed in range(2, ROUNDS + 1):
         rest = large.join(_open(large, links, total), "rep")
         links = links.unionByName(_inside_blocks(rest, seed, total, threshold))
-    return links.unionByName(_across_blocks(large.join(_open(large, links, total), "rep"), threshold))
+    links = links.unionByName(_across_blocks(large.join(_open(large, links, total), "rep"), threshold))
+    discard(sets, sets)
+    return links
 
 
 def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -254,6 +259,7 @@ def near_duplicates(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     members = written(
         firsts.select("rep", "fp").join(candidates.withColumnRenamed("id", "rep"), "rep"), "candidates"
     )
+    discard(docs)
     links = _confirmed_links(docs, members, threshold)
     copies = classes.where("doc_id <> rep").select(F.col("doc_id").alias("src"), F.col("rep").alias("dst"))
     reached = components(links.unionByName(copies)).withColumnRenamed("id", "doc_id")
