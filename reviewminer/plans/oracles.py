@@ -7,6 +7,7 @@ from ..functions.text import TOKEN_PATTERN
 from ..functions.wordlists import STOPWORDS
 from ..operators.bow import MIN_COUNT
 from ..operators.clusters import TOP
+from ..operators.cooccurrence import CONTEXTS, WINDOW
 from ..operators.filters import PRESET_PRICES
 from ..operators.synonyms import DIGITS
 from ..operators.templates import COMPOUND_NOUN
@@ -237,6 +238,21 @@ ORACLES: dict[str, str] = {
           SELECT a.id, b.id AS other, round(list_cosine_similarity(a.v, b.v), {DIGITS}) AS cosine FROM usable a JOIN usable b ON a.id <> b.id)
         SELECT id, row_number() OVER w AS rank, other, round(cosine, 6) + 0.0::DOUBLE AS cosine FROM scored
         WINDOW w AS (PARTITION BY id ORDER BY cosine DESC, other) QUALIFY rank <= {SYNONYMS}""",
+    "word_contexts": f"""WITH {COUNTS},
+        vocab AS (SELECT word, row_number() OVER (ORDER BY n DESC, word) AS p FROM counts WHERE n >= {MIN_COUNT}),
+        placed AS (
+          SELECT review_id, word, p, row_number() OVER (PARTITION BY review_id ORDER BY pos) AS i FROM tokens JOIN vocab USING (word)),
+        sides AS (
+          SELECT x.word AS first, x.p AS p_first, y.word AS second, y.p AS p_second, {WINDOW} + 1 - d AS weight
+          FROM (SELECT *, unnest(range(1, {WINDOW} + 1)) AS d FROM placed) x JOIN placed y ON x.review_id = y.review_id AND y.i = x.i + x.d),
+        met AS (
+          SELECT first AS word, second AS context, weight FROM sides WHERE p_second <= {CONTEXTS}
+          UNION ALL SELECT second, first, weight FROM sides WHERE p_first <= {CONTEXTS}),
+        pairs AS (SELECT word, context, CAST(sum(weight) AS BIGINT) AS n FROM met GROUP BY word, context),
+        shares AS (
+          SELECT *, sum(n) OVER () AS total, sum(n) OVER (PARTITION BY word) AS n_word, sum(n) OVER (PARTITION BY context) AS n_context FROM pairs)
+        SELECT word, context, n, round(ln(n * total::DOUBLE / (n_word * n_context::DOUBLE)), 6) + 0.0::DOUBLE AS pmi FROM shares
+        WHERE ln(n * total::DOUBLE / (n_word * n_context::DOUBLE)) > 0""",
     "clusters_exact": f"WITH {EXACT} SELECT * FROM clusters",
     "clusters_top": f"WITH {TOP_CLUSTERS} SELECT rank, feature, representative, n_reviews, n_ngrams FROM top",
     "clusters_allpairs": allpairs("feature"),

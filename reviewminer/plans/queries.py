@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bow, clusters, embeddings, filters, graph, similarity, synonyms, templates, tfidf, tokens, weights
+from ..operators import bow, clusters, cooccurrence, embeddings, filters, graph, similarity, synonyms, templates, tfidf, tokens, weights
 from ..schemas import REVIEW
 from ..session import fresh_path
 from ..sources import json_lines, reports, tables
@@ -284,6 +284,17 @@ def vector_synonyms(spark: SparkSession, d: str) -> DataFrame:
     return found.select("id", *_long("rank"), "other", _digits("cosine", 6))
 
 
+def word_contexts(spark: SparkSession, d: str) -> DataFrame:
+    """(word, context, n, pmi): what the words from counts are made of."""
+    pairs, vocab = cooccurrence.word_contexts(tokens.word_lists(tables.review_texts(spark, d)))
+    words, contexts = vocab.select(F.col("pos").alias("a"), "word"), vocab.select(F.col("pos").alias("b"), F.col("word").alias("context"))
+    return pairs.join(words, "a").join(contexts, "b").select("word", "context", "n", _digits("pmi", 6))
+
+
+def count_vectors(spark: SparkSession, d: str) -> DataFrame:
+    return cooccurrence.count_vectors(tokens.word_lists(tables.review_texts(spark, d)))
+
+
 def _trained(spark: SparkSession, lists: DataFrame, size: int):
     return embeddings.train(lists, size, partitions=spark.sparkContext.defaultParallelism)
 
@@ -349,6 +360,8 @@ QUERIES: dict[str, Query] = {
     "bow_regression": bow_regression,
     "bow_regression_by_source": bow_regression_by_source,
     "vector_synonyms": vector_synonyms,
+    "word_contexts": word_contexts,
+    "count_vectors": count_vectors,
     "word2vec_vectors": word2vec_vectors,
     "word2vec_synonyms": word2vec_synonyms,
     "feature_report": feature_report,

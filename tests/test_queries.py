@@ -31,7 +31,7 @@ def ordered(rows):
 def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
     without = {n for n in set(entry.queries()) - set(entry.oracle_sql()) if not n.startswith("op") and n != "pipeline"}
-    assert without == {"bow_regression", "bow_regression_by_source", "word2vec_vectors", "word2vec_synonyms"}
+    assert without == {"bow_regression", "bow_regression_by_source", "count_vectors", "word2vec_vectors", "word2vec_synonyms"}
 
 
 @pytest.mark.parametrize("name", sorted(entry.oracle_sql()))
@@ -46,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
     assert got and got == expected
 
 
-@pytest.mark.parametrize("name", ["bow_regression", "bow_regression_by_source", "word2vec_vectors", "word2vec_synonyms"])
+@pytest.mark.parametrize("name", ["bow_regression", "bow_regression_by_source", "count_vectors", "word2vec_vectors", "word2vec_synonyms"])
 def test_model_queries(spark, name):
     rows = entry.queries()[name](spark, SF_DIR).collect()
     assert rows
