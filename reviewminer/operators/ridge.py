@@ -9,9 +9,11 @@ system of a group of n rows is
 
 where Z holds the centred columns divided by their deviations. Z is never made:
 C p needs the sums s of count * p / deviation over each row, and then the sums of
-count * s over each feature; centring takes away products of means. So a step is
-one join of the cells with the direction and two aggregates; coefficients,
-residuals and directions are columns of the feature table.
+count * s over each feature; centring takes away products of means. So a step is two
+passes over the cells, joined with the direction and then with the row sums, with an
+aggregate each. Up to ``SMALL`` features or rows those two are broadcast and only
+partial sums are shuffled; beyond, hot features are split. Coefficients, residuals and
+directions are columns of the feature table.
 """
 
 from __future__ import annotations
@@ -22,8 +24,9 @@ from pyspark.sql import functions as F
 from ..session import stored
 from .skew import join_hot_keys
 
-SMALL = 1_000_000  # features or groups whose numbers are broadcast; beyond, joins split hot keys
+SMALL = 1_000_000  # features, rows or groups whose numbers (16 bytes each) are broadcast; beyond, joins are shuffled and split hot keys
 MIN_HOT = 100_000
+LOOK = 5  # steps between looks at the residuals
 TOLERANCE = 1e-12  # of the residual's length, against that of the start
 
 _EMPTY = 1e-12
@@ -40,6 +43,7 @@ class _Models:
         self.rows = rows
         self.many_features = features.count() > SMALL
         self.many_groups = groups.count() > SMALL
+        self.many_rows = rows.count() > SMALL
         self.hot = MIN_HOT
         if self.many_features or self.many_groups:
             self.hot = max(MIN_HOT, (features.agg(F.sum("held")).first()[0] or 0) // 1000)
@@ -58,8 +62,9 @@ class _Models:
             met = join_hot_keys(cells, direction, "pos", "held", self.hot).drop("held")
         else:
             met = cells.join(F.broadcast(direction.drop("held")), "pos")
-        sums = met.groupBy("row").agg(F.sum(F.col("tf") * F.col("q")).alias("s"), F.collect_list(F.struct("pos", "tf")).alias("cells"))
-        return sums.select("s", F.inline("cells")).groupBy("pos").agg(F.sum(F.col("tf") * F.col("s")).alias("t"))
+        sums = met.groupBy("row").agg(F.sum(F.col("tf") * F.col("q")).alias("s"))
+        met = self.rows.select("row", "cells").join(sums if self.many_rows else F.broadcast(sums), "row")
+        return met.select("s", F.inline("cells")).groupBy("pos").agg(F.sum(F.col("tf") * F.col("s")).alias("t"))
 
 
 def _start(models: _Models, features: DataFrame, groups: DataFrame, reg_param: float) -> DataFrame:
@@ -122,7 +127,7 @@ def ridge(rows: DataFrame, features: DataFrame, reg_param: float, max_iter: int,
     models = _Models(rows, features, groups)
     state = stored(_start(models, features, groups, reg_param), "ridge-start")
     first = None
-    for _ in range(max_iter):
+    for step in range(1, max_iter + 1):
         state = state.withColumn("q", F.col("p") * F.col("inv"))
         moved = stored(state.join(models.along(state), "pos", "left").withColumn("t", F.coalesce("t", F.lit(0.0))), "ridge-step")
         lengths = _lengths(moved)
@@ -136,6 +141,6 @@ def ridge(rows: DataFrame, features: DataFrame, reg_param: float, max_iter: int,
             .withColumn("p", F.col("r") + F.col("beta") * F.col("p"))
             .select("pos", "grp", "held", "n", "mu", "inv", "rho", "u", "r", "p")
         )
-        if not open_.limit(1).count():
+        if step % LOOK == 0 and not open_.limit(1).count():
             break
     return state.select("pos", (F.col("u") * F.col("inv")).alias("coef"))
