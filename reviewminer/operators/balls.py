@@ -118,15 +118,14 @@ def balls(vectors: DataFrame, threshold: float, block_rows: int, unit: Column, h
     spark = vectors.sparkSession
     rows = vectors.withColumn("vector", unit)
     total = rows.count()
-    count = min(pivots, max(1, math.ceil(total / block_rows)))
+    if total <= block_rows:  # one piece that meets itself
+        shells = pd.DataFrame({"shell": [0], "ball": [0], "held": [total], "low": [0.0], "high": [0.0], "pieces": [1]})
+        return _balls(rows.withColumns({"shell": F.lit(0).cast("bigint"), "piece": F.lit(0).cast("bigint")}), shells, np.ones((1, 1), bool), np.zeros((1, 1)))
+    count = min(pivots, math.ceil(total / block_rows))
+    sample = rows.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(count * SAMPLE).collect()
+    centres = _pivots(np.array([r["vector"] for r in sample]), count)
     schema = T.StructType([*rows.schema.fields, T.StructField("ball", T.LongType()), T.StructField("angle", T.DoubleType())])
-    if count == 1:
-        centres = np.zeros((1, 1))
-        placed = rows.withColumns({"ball": F.lit(0).cast("bigint"), "angle": F.lit(0.0)})
-    else:
-        sample = rows.select("vector").orderBy(F.xxhash64("vector"), "vector").limit(count * SAMPLE).collect()
-        centres = _pivots(np.array([r["vector"] for r in sample]), count)
-        placed = stored(rows.mapInPandas(_nearest(centres), schema), "balls")
+    placed = stored(rows.mapInPandas(_nearest(centres), schema), "balls")
     cuts = [i / SHELLS for i in range(1, SHELLS)]
     cut = placed.groupBy("ball").agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("angle", cuts, 1000).alias("cuts"))
     cut = cut.select("ball", F.when(F.col("n") > block_rows, F.col("cuts")).otherwise(F.array().cast("array<double>")).alias("cuts"))
@@ -138,10 +137,14 @@ def balls(vectors: DataFrame, threshold: float, block_rows: int, unit: Column, h
     shells = about.orderBy("shell").toPandas()
     shells["pieces"] = -(-shells["held"] // block_rows)
     widest = math.acos(max(-1.0, min(1.0, threshold)))
-    meets = _meeting(centres, shells, widest) if count > 1 else np.ones((len(shells), len(shells)), bool)
+    meets = _meeting(centres, shells, widest)
+    sizes = F.broadcast(spark.createDataFrame(shells[["shell", "pieces"]]))  # one row per shell
+    placed = placed.join(sizes, "shell").withColumn("piece", F.pmod(F.xxhash64(hashed), F.col("pieces")))
+    return _balls(placed.select(*rows.columns, "shell", "piece"), shells, meets, centres)
+
+
+def _balls(placed: DataFrame, shells: pd.DataFrame, meets: np.ndarray, centres: np.ndarray) -> Balls:
     names, pieces = shells["shell"].tolist(), shells["pieces"].tolist()
-    lists = [(s, int(h), p, [(names[j], pieces[j]) for j in np.nonzero(m)[0]]) for s, h, p, m in zip(names, shells["held"], pieces, meets, strict=True)]
-    partners = spark.createDataFrame(lists, "shell long, held long, pieces long, with array<struct<shell: long, pieces: long>>")
-    placed = placed.join(F.broadcast(partners.select("shell", "pieces")), "shell")
-    placed = placed.withColumn("piece", F.pmod(F.xxhash64(hashed), F.col("pieces")))
-    return Balls(placed.select(*rows.columns, "shell", "piece"), shells, partners.drop("pieces"), meets, centres)
+    lists = [(s, int(h), [(names[j], int(pieces[j])) for j in np.nonzero(m)[0]]) for s, h, m in zip(names, shells["held"], meets, strict=True)]
+    partners = placed.sparkSession.createDataFrame(lists, "shell long, held long, with array<struct<shell: long, pieces: long>>")
+    return Balls(placed, shells, partners, meets, centres)

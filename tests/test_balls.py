@@ -34,7 +34,7 @@ def test_far_groups_are_skipped_and_bounds_hold(spark):
     df = around(spark, 20, 30, 0.05)
     assert s.skipped_pairs(df, 0.95, 30) > 0.8
     assert s.skipped_pairs(df, 0.95, 10**6) == 0.0
-    assert s.skipped_pairs(df.limit(0), 0.95, 30) == 1.0
+    assert s.skipped_pairs(df.limit(0), 0.95, 30) == 1.0  # of no pairs
     placed = B.balls(df, 0.95, 30, s.unit(F.col("vector")))
     sent = placed.pairs(placed.placed).count()
     assert sent < 600 * len(placed.shells) / 3
