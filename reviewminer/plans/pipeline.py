@@ -12,11 +12,13 @@ from pyspark.sql import functions as F
 from ..functions.tagging import DEFAULT_TAGGER, RuleTagger
 from ..functions.wordlists import STOPWORDS
 from ..operators import clusters as C
-from ..operators.embeddings import phrase_vectors, train, word_vectors
+from ..operators.embeddings import PIPELINE_SIZE, phrase_vectors
 from ..operators.filters import Filter, fits_broadcast, product_ids, reviews_of_products
+from ..operators.skipgram import word_vectors
 from ..operators.templates import ADJECTIVE_NOUN, Template, extract_ngrams
 from ..operators.tokens import word_lists
 from ..operators.weights import MIN_WINDOWS, REG_PARAM, modifier_weights, top_modifiers
+from ..session import stored
 from ..sources.tables import attach_ratings
 
 
@@ -93,7 +95,7 @@ def mine(
     ``products`` with ``product_filter`` narrows the reviews. Strategies other
     than ``exact`` cluster by the vector of the feature or, with
     ``vector_of="first"``, of the first window word. ``vectors`` holds (feature
-    or w2, vector); if none are given, Word2Vec is trained on the reviews.
+    or w2, vector); if none are given, they are trained on the reviews (``skipgram``).
     """
     if not template.first_only:
         raise ValueError("the weights need at most one n-gram per review")
@@ -113,9 +115,8 @@ def mine(
     stats = C.ngram_stats(ngrams).persist(StorageLevel.MEMORY_AND_DISK)
     key = {"feature": "feature", "first": "w2"}[vector_of]
     if trains:
-        cores = reviews.sparkSession.sparkContext.defaultParallelism
-        model = train(word_lists(reviews, stopwords), partitions=partitions or cores)
-        vectors = phrase_vectors(stats.select(key).distinct(), word_vectors(model), key)
+        trained = stored(word_vectors(word_lists(reviews, stopwords), PIPELINE_SIZE), "word-vectors")
+        vectors = phrase_vectors(stats.select(key).distinct(), trained, key)
     assignment = C.assign(stats, vectors, threshold, algorithm, key)
     clusters = C.build_clusters(stats, assignment, drop_singletons)
     top = C.top_clusters(clusters, top_k, rank_by).persist(StorageLevel.MEMORY_AND_DISK)

@@ -7,9 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import bow, clusters, cooccurrence, embeddings, filters, graph, similarity, synonyms, templates, tfidf, tokens, weights
+from ..operators import bow, clusters, cooccurrence, embeddings, filters, graph, similarity, skipgram, synonyms, templates, tfidf, tokens, weights
 from ..schemas import REVIEW
-from ..session import fresh_path
+from ..session import fresh_path, stored
 from ..sources import json_lines, reports, tables
 from . import pipeline
 from .parameters import (
@@ -295,13 +295,9 @@ def count_vectors(spark: SparkSession, d: str) -> DataFrame:
     return cooccurrence.count_vectors(tokens.word_lists(tables.review_texts(spark, d)))
 
 
-def _trained(spark: SparkSession, lists: DataFrame, size: int):
-    return embeddings.train(lists, size, partitions=spark.sparkContext.defaultParallelism)
-
-
 def word2vec_vectors(spark: SparkSession, d: str) -> DataFrame:
     lists = tokens.word_lists(tables.review_texts(spark, d))
-    return embeddings.word_vectors(_trained(spark, lists, embeddings.PIPELINE_SIZE))
+    return skipgram.word_vectors(lists, embeddings.PIPELINE_SIZE)
 
 
 def word2vec_synonyms(spark: SparkSession, d: str) -> DataFrame:
@@ -309,7 +305,8 @@ def word2vec_synonyms(spark: SparkSession, d: str) -> DataFrame:
     lists = tokens.whitespace_lists(tables.review_texts(spark, d))
     counts = whitespace_tokens(spark, d).where("word <> ''")
     word = counts.orderBy(F.desc("n"), "word").first()["word"]
-    return embeddings.synonyms(_trained(spark, lists, embeddings.DEMO_SIZE), word)
+    vectors = stored(skipgram.word_vectors(lists, embeddings.DEMO_SIZE), "word-vectors")
+    return skipgram.synonyms(vectors, word, embeddings.SYNONYMS)
 
 
 QUERIES: dict[str, Query] = {
