@@ -6,8 +6,10 @@ end of a loose mail address. Boosted stumps score them by shape and context.
 No span labels exist, and "is a base span" would make every addition wrong, so
 the model learns from rewritten base spans: the same data in a form the base
 formats do not know is right, a spoilt one and every other cut through it is
-wrong. It is fitted on at most ``LABELLED`` such examples; each kind's threshold
-is the lowest that keeps the precision on a held-out third of them. Candidates
+wrong. Every such example counts: two thirds fit the stumps, from sums over places
+between cuts that Spark adds up in each round, and each kind's threshold is the
+lowest that keeps the precision on the other third. The driver sees values,
+sums and scores with their counts, whose number does not grow with the texts. Candidates
 that meet no base span and pass are added, best first, without overlaps; base
 spans always stay. Without base spans there is nothing to learn from.
 
@@ -32,10 +34,12 @@ from pyspark.sql import functions as F
 from .common import enough_tasks, written
 
 KINDS = ("email", "ip", "card", "phone")
-LABELLED = 20_000
 PRECISION = 0.98
 ROUNDS = 40
 RATE = 0.3
+PLACES = np.linspace(0.05, 0.95, 13)  # quantiles that cut a feature's values
+STEPS = 1024  # scores are multiples of 1 / STEPS
+_UNIT = 1 << 24  # sums are whole numbers of 1 / _UNIT, so they do not depend on their order
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}")
@@ -245,56 +249,155 @@ def examples(text: str, span: tuple[int, int, int]) -> tuple[list[list[float]],
     return x, y
 
 
-def fit(x: np.ndarray, y: np.ndarray) -> list[tuple[int, float, float, float]]:
-    """Boosted stumps (feature, cut, left, right) under logistic loss, by Newton steps."""
-    model, score = [], np.zeros(len(y))
-    cuts = [np.unique(np.quantile(x[:, f], np.linspace(0.05, 0.95, 13))) for f in range(x.shape[1])] if len(y) else []
-    for _ in range(ROUNDS if len(y) else 0):
-        p = 1 / (1 + np.exp(-score))
-        g, h = y - p, p * (1 - p)
-        best = None
-        for f, places in enumerate(cuts):
-            for cut in places:
-                left = x[:, f] <= cut
-                gl, hl = g[left].sum(), h[left].sum()
-                gr, hr = g.sum() - gl, h.sum() - hl
-                gain = gl * gl / (hl + 1) + gr * gr / (hr + 1)
-                if best is None or gain > best[0] + 1e-12:
-                    best = (gain, f, float(cut), RATE * gl / (hl + 1), RATE * gr / (hr + 1))
-        model.append(best[1:])
-        _, f, cut, low, high = best
-        score += np.where(x[:, f] <= cut, low, high)
-    return model
+Stump = tuple[int, float, float, float]  # feature, cut, left, right
 
 
-def predict(model, x: np.ndarray) -> np.ndarray:
+def predict(model: list[Stump], x: np.ndarray) -> np.ndarray:
     score = np.zeros(len(x))
     for f, cut, low, high in model:
         score += np.where(x[:, f] <= cut, low, high)
     return score
 
 
-def fit_kinds(x: np.ndarray, y: np.ndarray) -> list:
+def predict_kinds(models: list[list[Stump]], x: np.ndarray) -> np.ndarray:
     """A model per kind: what tells one kind from chance says nothing about another."""
-    return [fit(x[x[:, 0] == k], y[x[:, 0] == k]) for k in range(len(KINDS))]
+    score = np.select([x[:, 0] == k for k in range(len(KINDS))], [predict(m, x) for m in models])
+    return np.round(score * STEPS) / STEPS
+
+
+def quantiles(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The distinct quantiles at ``PLACES`` of rising values that occur so often."""
+    ends = np.cumsum(counts)
+    at = PLACES * (ends[-1] - 1)
+    below, above = (values[np.searchsorted(ends, i, side="right")] for i in (np.floor(at), np.ceil(at)))
+    return np.unique(below + (above - below) * (at - np.floor(at)))
+
+
+def _examples(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, labels and whether they are held out, of all examples in a batch; a hash of document and place decides."""
+    x = np.frombuffer(b"".join(batch.column("learnt").to_pylist()), np.float32).reshape(-1, WIDTH).astype(float)
+    lists = batch.column("rights")
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False)
+    place = np.arange(len(x)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    draw = np.repeat(batch.column("draw").to_numpy().view(np.uint64), sizes) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    draw = (draw ^ (draw >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    return x, lists.flatten().to_numpy(zero_copy_only=False), (draw >> np.uint64(32)) % np.uint64(3) == 0
+
+
+def _table(names: list[str], *columns) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+
+def _values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How often each kind's features take each value in the examples that are not held out."""
+    for batch in batches:
+        x, _, held = _examples(batch)
+        for k in range(len(KINDS)):
+            mine = x[(x[:, 0] == k) & ~held]
+            for f in range(WIDTH if len(mine) else 0):
+                found, many = np.unique(mine[:, f], return_counts=True)
+                yield _table(["kind", "feature", "value", "n"], np.full(len(found), k), np.full(len(found), f), found, many)
+
 
+def _placed(cuts: dict[tuple[int, int], np.ndarray]):
+    """Examples by the number of cuts below each feature; feature <= cut j means a place of at most j."""
 
-def predict_kinds(models: list, x: np.ndarray) -> np.ndarray:
-    return np.select([x[:, 0] == k for k in range(len(KINDS))], [predict(m, x) for m in models])
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x, y, held = _examples(batch)
+            for k in range(len(KINDS)):
+                mine = x[:, 0] == k
+                rows = np.zeros((int(mine.sum()), WIDTH), np.uint8)
+                for f in range(WIDTH):
+                    rows[:, f] = np.searchsorted(cuts.get((k, f), np.empty(0)), x[mine, f], side="left")
+                if len(rows):
+                    yield _table(["kind", "held", "places", "right"], np.full(len(rows), k), held[mine], [r.tobytes() for r in rows], y[mine].astype(np.int64))
+
+    return place
+
+
+def _scores(batch: pa.RecordBatch, models: list[list[Stump]]) -> tuple[np.ndarray, ...]:
+    """Kinds, places, counts, right ones and scores of a batch of equal examples; the models cut places."""
+    places = np.frombuffer(b"".join(batch.column("places").to_pylist()), np.uint8).reshape(-1, WIDTH)
+    kind, n, rights = (batch.column(c).to_numpy() for c in ("kind", "n", "rights"))
+    score = np.select([kind == k for k in range(len(KINDS))], [predict(m, places) for m in models])
+    return kind, places, n, rights, score
+
+
+def _sums(models: list[list[Stump]]):
+    """Gradient and curvature of logistic loss by kind, feature and place, in units of 1 / _UNIT."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = len(PLACES) + 1
+        total = np.zeros((2, len(KINDS) * WIDTH * width), np.int64)
+        for batch in batches:
+            kind, places, n, rights, score = _scores(batch, models)
+            p = 1 / (1 + np.exp(-score))
+            sums = [np.round(v * _UNIT).astype(np.int64) for v in (rights - n * p, n * p * (1 - p))]
+            for f in range(WIDTH):
+                slot = (kind * WIDTH + f) * width + places[:, f]
+                for i in range(2):
+                    np.add.at(total[i], slot, sums[i])
+        used = np.flatnonzero(total.any(axis=0))
+        yield _table(["slot", "g", "h"], used, total[0][used], total[1][used])
+
+    return add
+
+
+def _stump(g: np.ndarray, h: np.ndarray, cuts: list[int]) -> Stump | None:
+    """The Newton step of most gain: g and h by feature and place, ``cuts`` the number of each feature."""
+    best = None
+    for f, many in enumerate(cuts):
+        for place in range(many):
+            gl, hl = g[f, : place + 1].sum(), h[f, : place + 1].sum()
+            gr, hr = g[f].sum() - gl, h[f].sum() - hl
+            gain = gl * gl / (hl + 1) + gr * gr / (hr + 1)
+            if best is None or gain > best[0] * (1 + 1e-9):
+                best = (gain, f, float(place), RATE * gl / (hl + 1), RATE * gr / (hr + 1))
+    return best[1:] if best else None
+
+
+def _margins(models: list[list[Stump]]):
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, _, n, rights, found = _scores(batch, models)
+            yield _table(["kind", "score", "n", "rights"], kind, np.round(found * STEPS) / STEPS, n, rights)
+
+    return score
 
 
-def thresholds(score: np.ndarray, kind: np.ndarray, y: np.ndarray, precision: float = PRECISION) -> list[float]:
-    """Per kind the lowest score with the precision at and above it, half way to the next; never, where it is not reached."""
-    out = []
-    for k in range(len(KINDS)):
-        s, t = score[kind == k], y[kind == k]
-        order = np.argsort(-s, kind="stable")
-        s, t = s[order], t[order]
-        share = np.cumsum(t) / np.arange(1, len(t) + 1)
-        last = np.append(s[1:] < s[:-1], True) if len(s) else np.zeros(0, bool)
-        good = np.flatnonzero((share >= precision) & last)
-        out.append(float(s[good[-1] : good[-1] + 2].mean()) if len(good) else np.inf)
-    return out
+def threshold(score: np.ndarray, n: np.ndarray, rights: np.ndarray, precision: float = PRECISION) -> float:
+    """Of falling scores with counts: the lowest with the precision at and above it, half way to the next; never, where it is not reached."""
+    good = np.flatnonzero(np.cumsum(rights) >= precision * np.cumsum(n)) if len(n) else []
+    return float(score[good[-1] : good[-1] + 2].mean()) if len(good) else np.inf
+
+
+def learnt(proposed: DataFrame) -> tuple[list[list[Stump]], list[float]]:
+    """Boosted stumps and a threshold for each kind, from all examples of ``proposed``."""
+    examples = proposed.where(F.size("rights") > 0).select("learnt", "rights", F.xxhash64(F.lit(6), "doc_id").alias("draw"))
+    values = examples.mapInArrow(_values, "kind bigint, feature bigint, value double, n bigint")
+    values = values.groupBy("kind", "feature", "value").agg(F.sum("n").alias("n")).toPandas()  # spans are short: few values each
+    cuts = {key: quantiles(v["value"].to_numpy(), v["n"].to_numpy()) for key, v in values.sort_values("value").groupby(["kind", "feature"])}
+    models: list[list[Stump]] = [[] for _ in KINDS]
+    if not cuts:
+        return models, [np.inf] * len(KINDS)
+    placed = examples.mapInArrow(_placed(cuts), "kind bigint, held boolean, places binary, right bigint")
+    cells = written(placed.groupBy("kind", "held", "places").agg(F.count(F.lit(1)).alias("n"), F.sum("right").alias("rights")), "examples")
+    many = [[len(cuts.get((k, f), ())) for f in range(WIDTH)] for k in range(len(KINDS))]
+    shape = (len(KINDS), WIDTH, len(PLACES) + 1)
+    for _ in range(ROUNDS):
+        sums = cells.where("not held").mapInArrow(_sums(models), "slot bigint, g bigint, h bigint")
+        g, h = np.zeros(np.prod(shape)), np.zeros(np.prod(shape))
+        for row in sums.groupBy("slot").agg(F.sum("g").alias("g"), F.sum("h").alias("h")).collect():  # at most a row per place
+            g[row["slot"]], h[row["slot"]] = row["g"] / _UNIT, row["h"] / _UNIT
+        steps = [_stump(g.reshape(shape)[k], h.reshape(shape)[k], many[k]) for k in range(len(KINDS))]
+        models = [[*m, s] if s else m for m, s in zip(models, steps, strict=True)]
+    margins = cells.where("held").mapInArrow(_margins(models), "kind bigint, score double, n bigint, rights bigint")
+    margins = margins.groupBy("kind", "score").agg(F.sum("n").alias("n"), F.sum("rights").alias("rights")).toPandas()  # multiples of 1 / STEPS
+    margins = margins.sort_values("score", ascending=False)
+    bars = [threshold(*(margins.loc[margins["kind"] == k, c].to_numpy() for c in ("score", "n", "rights"))) for k in range(len(KINDS))]
+    named = [[(f, float(cuts[k, f][int(place)]), low, high) for f, place, low, high in m] for k, m in enumerate(models)]
+    return named, bars
 
 
 def _apart(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
@@ -368,21 +471,12 @@ def _decide(model, bars):
     return decide
 
 
-def personal_spans(docs: DataFrame, labelled: int = LABELLED) -> DataFrame:
+def personal_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans); counts are those of the base formats."""
     rows = enough_tasks(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"))
     schema = "doc_id bigint, base binary, loose binary, features binary, learnt binary, rights array<int>"
     proposed = written(rows.mapInArrow(_propose, schema), "candidates")
-    each = proposed.select("doc_id", "learnt", F.posexplode("rights").alias("at", "right"))
-    own = F.substring(F.col("learnt"), F.col("at") * (4 * WIDTH) + 1, F.lit(4 * WIDTH))
-    sample = each.select(own.alias("x"), "right", F.xxhash64(F.lit(5), "doc_id", "at").alias("draw"))
-    sample = sample.orderBy("draw", "x", "right").limit(labelled).toPandas()  # at most ``labelled`` rows of numbers
-    x = np.array([np.frombuffer(bytes(b), np.float32) for b in sample["x"]], float).reshape(-1, WIDTH)
-    y = sample["right"].to_numpy(float)
-    held = np.arange(len(y)) % 3 == 0
-    model = fit_kinds(x[~held], y[~held])
-    bars = thresholds(predict_kinds(model, x[held]), x[held, 0], y[held])
     return proposed.select("doc_id", "base", "loose", "features").mapInArrow(
-        _decide(model, bars),
+        _decide(*learnt(proposed)),
         "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string",
     )
