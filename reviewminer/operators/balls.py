@@ -27,6 +27,8 @@ from .skew import join_hot_keys
 
 PIVOTS = 1024
 SHELLS = 4
+BLOCK_ROWS, MOST_ROWS = 2048, 16_384  # of a piece, from few vectors to many
+PIECES = 16  # from which on pieces grow before there are more of them
 SAMPLE = 16  # sampled vectors per pivot
 ROUNDS = 4  # of moving pivots to the means of their sampled vectors
 SLACK = 1e-6  # of an angle, far above the rounding of a cosine
@@ -109,15 +111,21 @@ def _meeting(pivots: np.ndarray, shells: pd.DataFrame, widest: float) -> np.ndar
     return np.maximum(apart, np.maximum(inside, inside.T)) <= widest + SLACK
 
 
-def balls(vectors: DataFrame, threshold: float, block_rows: int, unit: Column, hashed: str = "id", pivots: int = PIVOTS) -> Balls:
+def rows_of_a_piece(total: int) -> int:
+    """Every piece is sent to each it meets, so what is shuffled falls with their size; tasks compare them in strips."""
+    return max(BLOCK_ROWS, min(MOST_ROWS, total // PIECES))
+
+
+def balls(vectors: DataFrame, threshold: float, block_rows: int | None, unit: Column, hashed: str = "id", pivots: int = PIVOTS) -> Balls:
     """Place ``vectors`` for pairs of cosine above ``threshold``; ``unit`` makes their direction from a row.
 
     There are about as many balls as blocks of ``block_rows``, at most ``pivots``; the rows of a
-    shell are dealt into pieces of about that size by a hash of ``hashed``.
+    shell are dealt into pieces of about that size by a hash of ``hashed``. Without it the size follows their number.
     """
     spark = vectors.sparkSession
     rows = vectors.withColumn("vector", unit)
     total = rows.count()
+    block_rows = block_rows or rows_of_a_piece(total)
     if total <= block_rows:  # one piece that meets itself
         shells = pd.DataFrame({"shell": [0], "ball": [0], "held": [total], "low": [0.0], "high": [0.0], "pieces": [1]})
         return _balls(rows.withColumns({"shell": F.lit(0).cast("bigint"), "piece": F.lit(0).cast("bigint")}), shells, np.ones((1, 1), bool), np.zeros((1, 1)))

@@ -8,7 +8,7 @@ a group.
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -20,7 +20,7 @@ from ..session import durable
 from .balls import Balls, balls
 from .skew import join_hot_keys
 
-BLOCK_ROWS = 2048
+STRIP = 512  # rows compared with a block at once
 HOT_COPIES = 200_000
 
 
@@ -68,17 +68,17 @@ def _kept(vectors: DataFrame) -> DataFrame:
     return durable(distinct_vectors(vectors.where(has_direction(F.col("vector")))))
 
 
-def _meeting(kept: DataFrame, threshold: float, block_rows: int) -> Balls:
+def _meeting(kept: DataFrame, threshold: float, block_rows: int | None) -> Balls:
     return balls(kept.select("id", "vector"), threshold, block_rows, unit(F.col("vector")))
 
 
-def _block_pairs(kept: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+def _block_pairs(kept: DataFrame, threshold: float, block_rows: int | None) -> DataFrame:
     """Rows (bi, bj, b, id, vector): each vector once per pair of pieces it is in."""
     placed = _meeting(kept, threshold, block_rows)
     return placed.pairs(placed.placed)
 
 
-def skipped_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> float:
+def skipped_pairs(vectors: DataFrame, threshold: float, block_rows: int | None = None) -> float:
     """The share of all pairs of distinct vectors that ``similar_pairs`` never compares."""
     return _meeting(_kept(vectors), threshold, block_rows).skipped()
 
@@ -99,30 +99,29 @@ def _sides(pdf: pd.DataFrame) -> tuple[Side, Side, bool]:
     return (left, left, True) if low == high else (left, side(high), False)
 
 
-def _pairs_above(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
-    def compare(pdf: pd.DataFrame) -> pd.DataFrame:
-        (ids_a, a), (ids_b, b), same = _sides(pdf)
-        if not len(ids_a) or not len(ids_b):
-            return pd.DataFrame({"id_a": ids_a[:0], "id_b": ids_a[:0], "cosine": np.empty(0)})
-        scores = a @ b.T
-        hits = scores > threshold
-        if same:
-            hits = np.triu(hits, k=1)
-        rows, cols = np.nonzero(hits)
-        first, second = ids_a[rows], ids_b[cols]
-        swap = first > second
-        return pd.DataFrame(
-            {
-                "id_a": np.where(swap, second, first),
-                "id_b": np.where(swap, first, second),
-                "cosine": scores[rows, cols],
-            }
-        )
+def _pairs_above(threshold: float) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    def compare(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        (ids_a, a), (ids_b, b), same = _sides(pd.concat(list(frames)))
+        for low in range(0, len(ids_a) if len(ids_b) else 0, STRIP):
+            scores = a[low : low + STRIP] @ b.T
+            hits = scores > threshold
+            if same:
+                hits = np.triu(hits, k=1 + low)
+            rows, cols = np.nonzero(hits)
+            first, second = ids_a[low + rows], ids_b[cols]
+            swap = first > second
+            yield pd.DataFrame(
+                {
+                    "id_a": np.where(swap, second, first),
+                    "id_b": np.where(swap, first, second),
+                    "cosine": scores[rows, cols],
+                }
+            )
 
     return compare
 
 
-def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """(id_a, id_b, cosine) with id_a < id_b and cosine > threshold, exact.
 
     Equal vectors are compared once, under their smallest id; ``vector_copies``
@@ -131,7 +130,7 @@ def similar_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_
     return _pairs_of(_kept(vectors), vectors, threshold, block_rows)
 
 
-def _pairs_of(kept: DataFrame, vectors: DataFrame, threshold: float, block_rows: int) -> DataFrame:
+def _pairs_of(kept: DataFrame, vectors: DataFrame, threshold: float, block_rows: int | None) -> DataFrame:
     kind = vectors.schema["id"].dataType
     schema = T.StructType(
         [T.StructField("id_a", kind), T.StructField("id_b", kind), T.StructField("cosine", T.DoubleType())]
@@ -140,7 +139,7 @@ def _pairs_of(kept: DataFrame, vectors: DataFrame, threshold: float, block_rows:
     return pairs.groupBy("bi", "bj").applyInPandas(_pairs_above(threshold), schema)
 
 
-def similar_pairs_and_copies(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def similar_pairs_and_copies(vectors: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """The similar pairs, and a row (copy_of, id, 1.0) for every further id of a vector.
 
     Ids are similar if their firsts are the same or a pair, so no id is lost
@@ -159,7 +158,7 @@ def _forest(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
         (ids_a, a), (ids_b, b), same = _sides(pdf)
         found: list[tuple] = []
         if len(ids_a) and len(ids_b):
-            near = (a @ b.T) > threshold
+            near = np.concatenate([a[low : low + STRIP] @ b.T > threshold for low in range(0, len(a), STRIP)])
             open_a = np.ones(len(ids_a), dtype=bool)
             open_b = np.ones(len(ids_b), dtype=bool)
             for root in range(len(ids_a)):
@@ -181,7 +180,7 @@ def _forest(threshold: float) -> Callable[[pd.DataFrame], pd.DataFrame]:
     return grow
 
 
-def connectivity_edges(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def connectivity_edges(vectors: DataFrame, threshold: float, block_rows: int | None = None) -> DataFrame:
     """(src, dst): edges with the same connected components as all similar pairs.
 
     Every pair of blocks contributes a spanning forest of its similar pairs, so

@@ -16,8 +16,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import stored
-from .balls import SLACK, Balls, _angles, balls
-from .similarity import BLOCK_ROWS, HOT_COPIES, distinct_vectors, has_direction, unit
+from .balls import SLACK, Balls, _angles, balls, rows_of_a_piece
+from .similarity import HOT_COPIES, STRIP, distinct_vectors, has_direction, unit
 from .skew import join_hot_keys
 
 DIGITS = 9  # cosines that agree to so many digits are ties
@@ -34,10 +34,11 @@ def _bounds(k: int):
     """(id, bound): the k-th best cosine of each row within its piece; -1 if the piece has fewer others."""
 
     def bound(pdf: pd.DataFrame) -> pd.DataFrame:
-        vectors = np.stack(pdf["vector"].to_numpy())
-        scores = vectors @ vectors.T
-        np.fill_diagonal(scores, -np.inf)
-        least = np.sort(np.take_along_axis(scores, _best(scores, k), axis=1), axis=1)[:, 0] if len(pdf) > k else np.full(len(pdf), -1.0)
+        vectors, least = np.stack(pdf["vector"].to_numpy()), np.full(len(pdf), -1.0)
+        for low in range(0, len(pdf) if len(pdf) > k else 0, STRIP):
+            scores = vectors[low : low + STRIP] @ vectors.T
+            scores[np.arange(len(scores)), low + np.arange(len(scores))] = -np.inf
+            least[low : low + STRIP] = np.sort(np.take_along_axis(scores, _best(scores, k), axis=1), axis=1)[:, 0]
         return pd.DataFrame({"id": pdf["id"], "bound": least})
 
     return bound
@@ -70,12 +71,19 @@ def _nearest(k: int):
         if not len(visitors) or not len(rows):
             return pd.DataFrame({"id": pdf["id"][:0], "other": pdf["id"][:0], "cosine": np.empty(0)})
         ids, others = visitors["id"].to_numpy(), rows["id"].to_numpy()
-        scores = np.round(np.stack(visitors["vector"].to_numpy()) @ np.stack(rows["vector"].to_numpy()).T, DIGITS)
+        asked, given = np.stack(visitors["vector"].to_numpy()), np.stack(rows["vector"].to_numpy())
+        return pd.concat([strip(ids[i : i + STRIP], asked[i : i + STRIP], others, given) for i in range(0, len(ids), STRIP)])
+
+    def strip(ids, asked, others, given) -> pd.DataFrame:
+        scores = np.round(asked @ given.T, DIGITS)
         scores[ids[:, None] == others[None, :]] = -np.inf
-        best = np.argsort(-scores, axis=1, kind="stable")[:, :k]  # ties to the smaller id
-        cosine = np.take_along_axis(scores, best, axis=1)
-        found = pd.DataFrame({"id": np.repeat(ids, best.shape[1]), "other": others[best].ravel(), "cosine": cosine.ravel()})
-        return found[np.isfinite(found["cosine"])]
+        least = np.take_along_axis(scores, _best(scores, k), axis=1).min(axis=1)
+        row, col = np.nonzero((scores >= least[:, None]) & np.isfinite(scores))
+        order = np.lexsort((col, -scores[row, col], row))  # ties to the smaller id
+        row, col = row[order], col[order]
+        best = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, col = row[best], col[best]
+        return pd.DataFrame({"id": ids[row], "other": others[col], "cosine": scores[row, col]})
 
     return find
 
@@ -86,7 +94,7 @@ def _met(placed: Balls, everything: DataFrame, k: int, block_rows: int) -> DataF
     bounds = everything.groupBy("shell", "piece").applyInPandas(_bounds(k), f"id {kind}, bound double")
     asking = everything.select("id", "vector").join(bounds, "id")
     found = asking.mapInPandas(_visits(placed.pivots, placed.shells), f"id {kind}, vector array<double>, shells array<long>")
-    visits = stored(found.withColumn("shell", F.explode("shells")).drop("shells"), "synonym-visits")
+    visits = stored(found, "synonym-visits").withColumn("shell", F.explode("shells")).drop("shells")  # written once for each vector
     many = {r["shell"]: -(-r["count"] // block_rows) for r in visits.groupBy("shell").count().collect()}  # one row per shell
     shells = [(int(s), int(p), int(many.get(s, 0))) for s, p in zip(placed.shells["shell"], placed.shells["pieces"], strict=True)]
     sizes = F.broadcast(spark.createDataFrame(shells, "shell long, pieces long, chunks long").where("chunks > 0"))
@@ -104,7 +112,7 @@ def _met(placed: Balls, everything: DataFrame, k: int, block_rows: int) -> DataF
     return groups.applyInPandas(_nearest(k), f"id {kind}, other {kind}, cosine double")
 
 
-def nearest_by_cosine(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def nearest_by_cosine(vectors: DataFrame, k: int, block_rows: int | None = None) -> DataFrame:
     """(id, rank, other, cosine): the ``k`` others of highest cosine of every vector, all if there are fewer.
 
     vectors(id, vector); ids are unique. Cosines are rounded to ``DIGITS`` digits, ties go to the
@@ -112,6 +120,7 @@ def nearest_by_cosine(vectors: DataFrame, k: int, block_rows: int = BLOCK_ROWS)
     """
     usable = stored(vectors.where(has_direction(F.col("vector"))).select("id", "vector"), "synonym-vectors")
     kept = stored(distinct_vectors(usable), "synonym-distinct")
+    block_rows = block_rows or rows_of_a_piece(kept.count())
     placed = balls(kept.select("id", "vector"), -1.0, block_rows, unit(F.col("vector")))
     everything = stored(placed.placed, "synonym-placed")
 

@@ -58,3 +58,25 @@ def test_joins_without_a_broadcast_give_the_same(spark, monkeypatch):
     monkeypatch.setattr(B, "SMALL", 0)
     monkeypatch.setattr(B, "MIN_HOT", 5)
     assert {(r.id_a, r.id_b) for r in s.similar_pairs(df, 0.9, 15).collect()} == expected
+
+
+def test_pieces_grow_with_the_vectors_and_strips_lose_nothing(spark, monkeypatch):
+    from reviewminer.operators import balls as B
+    from reviewminer.operators import similarity, synonyms
+
+    assert [B.rows_of_a_piece(n) for n in (0, 30_000, 160_000, 10**9)] == [2048, 2048, 10_000, 16_384]
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(np.round(rng.normal(size=(90, 4)), 1))]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    whole = sorted(similarity.similar_pairs(vectors, 0.5).collect())
+    edges = sorted(similarity.connectivity_edges(vectors, 0.5).collect())
+    near = sorted(synonyms.nearest_by_cosine(vectors, 5).collect())
+    monkeypatch.setattr(similarity, "STRIP", 7)
+    monkeypatch.setattr(synonyms, "STRIP", 7)
+    assert [r[:2] for r in sorted(similarity.similar_pairs(vectors, 0.5).collect())] == [r[:2] for r in whole] and len(whole) > 90
+    assert sorted(similarity.connectivity_edges(vectors, 0.5).collect()) == edges
+    assert [r[:3] for r in sorted(synonyms.nearest_by_cosine(vectors, 5).collect())] == [r[:3] for r in near] and len(near) == 450
+    monkeypatch.setattr(B, "BLOCK_ROWS", 10)
+    monkeypatch.setattr(B, "MOST_ROWS", 20)
+    assert [r[:2] for r in sorted(similarity.similar_pairs(vectors, 0.5).collect())] == [r[:2] for r in whole]
+    assert [r[:3] for r in sorted(synonyms.nearest_by_cosine(vectors, 5).collect())] == [r[:3] for r in near]
