@@ -14,6 +14,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -27,6 +29,7 @@ WINDOW = 5
 MIN_COUNT = 10
 SIZE = 50
 MIN_HOT = 100_000
+_LISTS = 4000  # lists whose pairs are counted together
 _CHUNK = 2048  # rows made dense together
 _PARTS = 32  # of the first sum over partitions
 
@@ -60,6 +63,27 @@ def _pairs(ids: Column, window: int, contexts: int) -> Column:
     return F.when(F.size(ids) > 1, F.flatten(F.transform(F.sequence(F.lit(1), last), step)))
 
 
+def _counted(known: list[str], window: int, contexts: int):
+    """The pairs of ``_pairs``, summed within every ``_LISTS`` lists; ``known`` is the vocabulary in order."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = pa.array(known, pa.string())
+        for batch in (b.slice(low, _LISTS) for b in batches for low in range(0, len(b), _LISTS)):
+            lists = batch.column("words")
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            ids = pc.fill_null(pc.index_in(lists.flatten().cast(pa.string()), vocab), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            row, ids = row[ids >= 0], ids[ids >= 0]
+            for d in range(1, window + 1):
+                near = row[:-d] == row[d:]
+                early, late = ids[:-d][near], ids[d:][near]
+                keys = np.concatenate([a[b < contexts] * contexts + b[b < contexts] for a, b in ((early, late), (late, early))])
+                found, many = np.unique(keys, return_counts=True)
+                columns = [found // contexts, found % contexts, many * (window + 1 - d)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "b", "weight"])
+
+    return count
+
+
 def word_contexts(
     word_lists: DataFrame, *, window: int = WINDOW, contexts: int = CONTEXTS, min_count: int = MIN_COUNT
 ) -> tuple[DataFrame, DataFrame]:
@@ -72,7 +96,11 @@ def word_contexts(
     lists = stored(word_lists.select("words").withColumn("row", F.monotonically_increasing_id()), "context-lists")
     counts = lists.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
     vocab = stored(vocabulary(counts, min_count), "context-vocabulary")
-    found = _numbered(lists, vocab).select(F.inline(_pairs(F.col("ids"), window, contexts)))
+    if vocab.limit(SMALL + 1).count() > SMALL:
+        found = _numbered(lists, vocab).select(F.inline(_pairs(F.col("ids"), window, contexts)))
+    else:  # every task holds the vocabulary, as it would a broadcast one; the words stay in their lists
+        known = [r["word"] for r in vocab.orderBy("pos").select("word").collect()]
+        found = lists.select("words").mapInArrow(_counted(known, window, contexts), "a bigint, b bigint, weight bigint")
     pairs = stored(found.groupBy("a", "b").agg(F.sum("weight").cast("bigint").alias("n")), "context-pairs")
     of_word = pairs.groupBy("a").agg(F.sum("n").alias("n_a"), F.count(F.lit(1)).alias("held"))
     of_context = pairs.groupBy("b").agg(F.sum("n").alias("n_b"))  # at most ``contexts`` rows

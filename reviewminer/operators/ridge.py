@@ -10,14 +10,19 @@ system of a group of n rows is
 where Z holds the centred columns divided by their deviations. Z is never made:
 C p needs the sums s of count * p / deviation over each row, and then the sums of
 count * s over each feature; centring takes away products of means. So a step is two
-passes over the cells, joined with the direction and then with the row sums, with an
-aggregate each. Up to ``SMALL`` features or rows those two are broadcast and only
-partial sums are shuffled; beyond, hot features are split. Coefficients, residuals and
+passes over the cells. Up to ``DENSE`` features every task holds the direction, makes both
+passes in one over its rows and sends partial sums by feature; beyond, the cells are joined
+with the direction and then with the row sums, and hot features are split. Coefficients, residuals and
 directions are columns of the feature table.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -25,6 +30,7 @@ from ..session import stored
 from .skew import join_hot_keys
 
 SMALL = 1_000_000  # features, rows or groups whose numbers (16 bytes each) are broadcast; beyond, joins are shuffled and split hot keys
+DENSE = 8_000_000  # features whose direction (8 bytes each) every task holds
 MIN_HOT = 100_000
 LOOK = 5  # steps between looks at the residuals
 TOLERANCE = 1e-12  # of the residual's length, against that of the start
@@ -36,12 +42,36 @@ def _sum(value: Column | str) -> Column:
     return F.coalesce(F.sum(value), F.lit(0.0))
 
 
+def _products(q: np.ndarray):
+    """(pos, t) of a task's rows: for each feature the sum of count * s, where s sums count * q over a row."""
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, met = np.zeros(len(q)), np.zeros(len(q), bool)
+        for batch in batches:
+            lists = batch.column("cells")
+            cells = lists.flatten()
+            pos, tf = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "tf"))
+            row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+            sums = np.bincount(row, weights=tf * q[pos], minlength=len(lists))
+            found, place = np.unique(pos, return_inverse=True)
+            total[found] += np.bincount(place, weights=tf * sums[row], minlength=len(found))
+            met[found] = True
+        found = np.flatnonzero(met)
+        for low in range(0, len(found), 100_000):
+            some = found[low : low + 100_000]
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], names=["pos", "t"])
+
+    return add
+
+
 class _Models:
     """The cells with the joins that the sizes of feature and group tables allow."""
 
     def __init__(self, rows: DataFrame, features: DataFrame, groups: DataFrame):
         self.rows = rows
-        self.many_features = features.count() > SMALL
+        found = features.agg(F.count(F.lit(1)).alias("n"), F.max("pos").alias("last")).first()
+        self.size = (found["last"] or 0) + 1
+        self.many_features = max(found["n"], self.size) > DENSE
         self.many_groups = groups.count() > SMALL
         self.many_rows = rows.count() > SMALL
         self.hot = MIN_HOT
@@ -56,12 +86,14 @@ class _Models:
 
     def along(self, features: DataFrame) -> DataFrame:
         """(pos, t): for each feature the sum of count * s, where s sums count * q over a row."""
-        cells = self.rows.select("row", F.inline("cells"))
         direction = features.select("pos", "held", "q")
-        if self.many_features:
-            met = join_hot_keys(cells, direction, "pos", "held", self.hot).drop("held")
-        else:
-            met = cells.join(F.broadcast(direction.drop("held")), "pos")
+        if not self.many_features:
+            q, known = np.zeros(self.size), direction.select("pos", "q").toPandas()  # at most ``DENSE`` numbers
+            q[known["pos"].to_numpy()] = known["q"].to_numpy()
+            parts = self.rows.select("cells").mapInArrow(_products(q), "pos bigint, t double")
+            return parts.groupBy("pos").agg(F.sum("t").alias("t"))
+        cells = self.rows.select("row", F.inline("cells"))
+        met = join_hot_keys(cells, direction, "pos", "held", self.hot).drop("held")
         sums = met.groupBy("row").agg(F.sum(F.col("tf") * F.col("q")).alias("s"))
         met = self.rows.select("row", "cells").join(sums if self.many_rows else F.broadcast(sums), "row")
         return met.select("s", F.inline("cells")).groupBy("pos").agg(F.sum(F.col("tf") * F.col("s")).alias("t"))

@@ -95,3 +95,16 @@ def test_no_texts_and_unrated_reviews(spark, reviews_of):
     rated = df.select("review_id", "overall").where("review_id < 2")
     got = {r.word: r.coef for r in bow.bow_regression(df.drop("overall"), rated, min_count=1, max_iter=6).collect()}
     assert got == pytest.approx(dict(zip(["sound", "price"], direct([[1, 1], [0, 1], [1, 0]], [1, 5, 3], bow.REG_PARAM), strict=True)), abs=1e-9)
+
+
+def test_directions_held_by_tasks_equal_joined_ones(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    cells = [[(int(p), int(rng.integers(1, 4))) for p in rng.choice(12, rng.integers(0, 6), replace=False)] for _ in range(60)]
+    rows = spark.createDataFrame([(i, i % 2, float(i % 5), [(p, t) for p, t in c if p % 2 == i % 2]) for i, c in enumerate(cells)],
+                                 "row long, grp int, label double, cells array<struct<pos: long, tf: long>>")
+    features = spark.createDataFrame([(p, p % 2, 30) for p in range(12)], "pos long, grp int, held long")
+    found = []
+    for most in (ridge.DENSE, 0):
+        monkeypatch.setattr(ridge, "DENSE", most)
+        found.append({r.pos: r.coef for r in ridge.ridge(rows, features, 0.1, 12).collect()})
+    assert found[0].keys() == found[1].keys() == set(range(12)) and found[0] == pytest.approx(found[1], abs=1e-9)
