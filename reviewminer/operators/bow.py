@@ -6,7 +6,7 @@ from collections.abc import Iterable
 
 from pyspark.ml.linalg import VectorUDT
 from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -79,12 +79,15 @@ def bow_points(
 
 
 def _labelled(lists: DataFrame, rated: DataFrame | None, default: float) -> DataFrame:
-    """(row, grp, label) of every list; ratings meet narrow rows."""
+    """(row, grp, label, copies) of every list, once for each of its ``copies`` ratings; ratings meet narrow rows."""
     if rated is None:
-        rows = lists.select("row", "grp", "overall")
+        rows = lists.select("row", "grp", "overall", F.lit(1).cast("bigint").alias("copies"))
     else:
-        rows = lists.select("row", "grp", "review_id").join(rated.select("review_id", "overall"), "review_id", "left")
-    return rows.select("row", "grp", F.coalesce(F.col("overall").cast("double"), F.lit(default)).alias("label"))
+        many = F.count(F.lit(1)).over(Window.partitionBy("review_id"))
+        given = rated.where("review_id is not null").select("review_id", "overall", many.alias("copies"))
+        rows = lists.select("row", "grp", "review_id").join(given, "review_id", "left")
+    label = F.coalesce(F.col("overall").cast("double"), F.lit(default))
+    return rows.select("row", "grp", label.alias("label"), F.coalesce("copies", F.lit(1).cast("bigint")).alias("copies"))
 
 
 def _placed(lists: DataFrame, vocab: DataFrame) -> DataFrame:

@@ -43,7 +43,7 @@ def _sum(value: Column | str) -> Column:
 
 
 def _products(q: np.ndarray):
-    """(pos, t) of a task's rows: for each feature the sum of count * s, where s sums count * q over a row."""
+    """(pos, t) of a task's rows: for each feature the sum of count * s, where s sums count * q over a row and its copies."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, met = np.zeros(len(q)), np.zeros(len(q), bool)
@@ -52,7 +52,7 @@ def _products(q: np.ndarray):
             cells = lists.flatten()
             pos, tf = (cells.field(c).to_numpy(zero_copy_only=False) for c in ("pos", "tf"))
             row = np.repeat(np.arange(len(lists)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            sums = np.bincount(row, weights=tf * q[pos], minlength=len(lists))
+            sums = np.bincount(row, weights=tf * q[pos], minlength=len(lists)) * batch.column("copies").to_numpy()
             found, place = np.unique(pos, return_inverse=True)
             total[found] += np.bincount(place, weights=tf * sums[row], minlength=len(found))
             met[found] = True
@@ -90,7 +90,8 @@ class _Models:
         if not self.many_features:
             q, known = np.zeros(self.size), direction.select("pos", "q").toPandas()  # at most ``DENSE`` numbers
             q[known["pos"].to_numpy()] = known["q"].to_numpy()
-            parts = self.rows.select("cells").mapInArrow(_products(q), "pos bigint, t double")
+            copies = F.col("copies") if "copies" in self.rows.columns else F.lit(1).cast("bigint")
+            parts = self.rows.select("cells", copies.alias("copies")).mapInArrow(_products(q), "pos bigint, t double")
             return parts.groupBy("pos").agg(F.sum("t").alias("t"))
         cells = self.rows.select("row", F.inline("cells"))
         met = join_hot_keys(cells, direction, "pos", "held", self.hot).drop("held")
@@ -147,7 +148,8 @@ def ridge(rows: DataFrame, features: DataFrame, reg_param: float, max_iter: int,
     """(pos, coef) of the models label ~ counts, one per group, with intercepts.
 
     rows(row, grp, label, cells array<struct<pos, tf>>) and features(pos, grp, held), each
-    feature in one group and ``held`` its number of rows. Steps end when every group's residual
+    feature in one group and ``held`` its number of rows. Rows that share a number must hold the same cells and
+    say in ``copies`` how many there are. Steps end when every group's residual
     is ``tolerance`` times its first, or after ``max_iter``, which is exact (but for rounding) once
     there are as many as a group has features. Features or labels that do not vary get 0.0.
     """

@@ -108,3 +108,15 @@ def test_directions_held_by_tasks_equal_joined_ones(spark, monkeypatch):
         monkeypatch.setattr(ridge, "DENSE", most)
         found.append({r.pos: r.coef for r in ridge.ridge(rows, features, 0.1, 12).collect()})
     assert found[0].keys() == found[1].keys() == set(range(12)) and found[0] == pytest.approx(found[1], abs=1e-9)
+
+
+def test_repeated_ratings_count_alike_in_tasks_and_joins(reviews_of, monkeypatch):
+    rng = random.Random(9)
+    df = reviews_of([(" ".join(rng.choices("sound price battery screen".split(), k=6)), rng.randint(1, 5)) for _ in range(40)])
+    rated = df.select("review_id", "overall").where("review_id <> '3'")
+    rated = rated.unionByName(rated.where("review_id < '2'")).unionByName(rated.limit(1).withColumn("review_id", F.lit(None).cast("string")))
+    found = []
+    for most in (ridge.DENSE, 0):
+        monkeypatch.setattr(ridge, "DENSE", most)
+        found.append({r.word: r.coef for r in bow.bow_regression(df.drop("overall"), rated, max_iter=3).collect()})
+    assert found[0] == pytest.approx(found[1], abs=1e-9) and len(found[0]) == 4
