@@ -10,6 +10,7 @@ from .skew import join_hot_keys
 
 MIN_HOT = 50_000
 HOT_SHARE = 1000  # vertices with more than 1/1000 of all edges are split
+GATHERED = 200_000  # edges; up to so many, the neighbours of one vertex are a list in its row
 
 
 def _link_to_minimum(arcs: DataFrame, hot: int) -> DataFrame:
@@ -40,6 +41,29 @@ def _signature(edges: DataFrame) -> tuple[int, int | None]:
     return row["n"], row["x"]
 
 
+def _neighbours(edges: DataFrame) -> DataFrame:
+    """(u, vs): every vertex with the set of its neighbours."""
+    arcs = edges.select(F.inline(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))))
+    return arcs.groupBy("u").agg(F.collect_set("v").alias("vs"))
+
+
+def _gathered_stars(edges: DataFrame) -> DataFrame:
+    """(u, v): every vertex but the smallest hung on the smallest of its component.
+
+    The same two steps on lists, with a shuffle each. All is done when every
+    vertex has larger neighbours alone or one neighbour.
+    """
+    least = F.array_min("vs")
+    around = durable(_neighbours(edges))
+    while around.where((F.size("vs") > 1) & (least < F.col("u"))).limit(1).count():
+        larger = F.filter("vs", lambda v: v > F.col("u"))
+        hung = around.select(F.explode(larger).alias("u"), F.least(least, "u").alias("v"))
+        below = hung.groupBy("u").agg(F.collect_set("v").alias("vs"))
+        ends = F.transform(F.array_append("vs", F.col("u")), lambda v: F.struct(v.alias("u"), least.alias("v")))
+        around = durable(_neighbours(below.select(F.inline(ends)).where("u <> v")))
+    return around.where(least < F.col("u")).select("u", least.alias("v"))
+
+
 def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame:
     """(id, component): label = smallest vertex reached over edges(src, dst).
 
@@ -50,7 +74,10 @@ def components(edges: DataFrame, vertices: DataFrame | None = None) -> DataFrame
     plain = edges.select(F.col("src").alias("u"), F.col("dst").alias("v")).where("u <> v").distinct()
     current = durable(plain)
     before = _signature(current)
-    while before[0]:
+    gathered = before[0] <= GATHERED
+    if gathered:
+        current = _gathered_stars(current)
+    while before[0] and not gathered:
         hot = max(MIN_HOT, before[0] // HOT_SHARE)
         current = durable(_small_star(_large_star(current, hot), hot))
         after = _signature(current)

@@ -134,6 +134,30 @@ def test_components_with_split_hot_vertices(spark, monkeypatch):
     assert set(labels(graph.components(df)).values()) == {0}
 
 
+@pytest.mark.parametrize("gathered", [0, 1_000])
+def test_components_by_lists_and_by_joins_are_equal(spark, monkeypatch, gathered):
+    monkeypatch.setattr(graph, "GATHERED", gathered)
+    monkeypatch.setattr(graph, "MIN_HOT", 5)
+    rng = random.Random(9)
+    edges = [(i, i + 1) for i in range(30)] + [(40, 40 + i) for i in range(9)] + [(5, 5)]
+    edges += [(rng.randrange(60, 160), rng.randrange(60, 160)) for _ in range(60)] + [(61, 60), (60, 61)]
+    rows = [(min(e), max(e)) if rng.random() < 0.5 else (max(e), min(e)) for e in edges] + [(None, 3), (7, None)]
+    df = spark.createDataFrame(rows + rows[:20], "src bigint, dst bigint")
+    ends = {v for a, b in edges if a != b for v in (a, b)}
+    assert labels(graph.components(df)) == union_find(sorted(ends), edges)
+
+
+def test_components_of_few_edges_take_few_stages(spark):
+    sc, rows = spark.sparkContext, [(i, i + 1) for i in range(40)]
+    sc.setJobGroup("few-stages", "components")
+    try:
+        assert set(labels(graph.components(spark.createDataFrame(rows, "src bigint, dst bigint"))).values()) == {0}
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    jobs = sc.statusTracker().getJobIdsForGroup("few-stages")
+    assert jobs and sum(len(sc.statusTracker().getJobInfo(j).stageIds) for j in jobs) < 70
+
+
 def test_components_without_edges(spark):
     empty = spark.createDataFrame([], "src long, dst long")
     assert graph.components(empty).count() == 0
