@@ -29,6 +29,7 @@ CENTROIDS = 24
 SAMPLE = 4096
 SHARE = 0.65
 _ROUNDS = 8
+_SLACK = 1e-12  # of the lengths' product: more than two ways of summing a product differ by
 
 
 def codebook(half: np.ndarray, centroids: int, seed: int = 3) -> np.ndarray:
@@ -51,11 +52,12 @@ def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def traversed(first: np.ndarray, second: np.ndarray, sizes: np.ndarray, enough: int) -> list[tuple[int, int]]:
     """Centroid pairs by falling sum of the two scores, until their lists hold ``enough`` vectors."""
     a, b = np.argsort(-first, kind="stable").tolist(), np.argsort(-second, kind="stable").tolist()
+    first, second, sizes = first.tolist(), second.tolist(), sizes.tolist()
     heap = [(-(first[a[0]] + second[b[0]]), 0, 0)]
     pairs, gathered = [], 0
     while heap and gathered < enough:
         _, i, j = heapq.heappop(heap)
-        size = sizes[a[i], b[j]]
+        size = sizes[a[i]][b[j]]
         if size:
             pairs.append((a[i], b[j]))
             gathered += size
@@ -92,6 +94,19 @@ def _build(centroids: int):
     return build
 
 
+def _list_scores(vectors: np.ndarray, asked: np.ndarray, visited: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Inner products, up to rounding, of every query with the vectors of the lists it visits; -inf elsewhere.
+
+    A list is read once, for all the queries that visit it.
+    """
+    close = np.full((len(asked), len(vectors)), -np.inf)
+    for at, (low, high) in enumerate(zip([0, *ends[:-1]], ends, strict=True)):
+        if high > low and len(by := np.flatnonzero(visited[:, at])):
+            found = asked[by] @ vectors[low:high].T
+            close[by, low:high] = np.where(np.isfinite(found), found, np.inf)  # overflows are ranked by the exact measure
+    return close
+
+
 def _search(k: int, share: float):
     def search(row: dict, query_ids: list[int], queries: list[list[float]]) -> list[tuple]:
         ids, dim, extra = np.frombuffer(row["ids"], np.int64), row["dim"], row["extra"]
@@ -106,13 +121,19 @@ def _search(k: int, share: float):
         asked = np.array(queries, float).reshape(len(query_ids), dim)
         first, second = asked[:, :cut] @ one.T, asked[:, cut:] @ two.T
         enough, out = max(k + 1, int(np.ceil(share * n))), []
+        visited = np.zeros((len(query_ids), ka * kb), bool)
+        for q in range(len(query_ids)):
+            visited[q, [i * kb + j for i, j in traversed(first[q], second[q], sizes, enough)]] = True
+        close = _list_scores(vectors, asked, visited, ends.ravel())
+        largest = np.sqrt((vectors**2).sum(axis=1).max())
         for q, query_id in enumerate(query_ids):
-            pairs = traversed(first[q], second[q], sizes, enough)
-            rows = np.concatenate([np.arange(ends[p] - sizes[p], ends[p]) for p in pairs])
-            scores = (vectors[rows] * asked[q]).sum(axis=1)
+            rows = np.flatnonzero(close[q] > -np.inf)
             if len(rows) > k + 1:  # the query itself may be one of them
-                bar = np.partition(scores, len(scores) - k - 1)[len(scores) - k - 1]
-                rows, scores = rows[scores >= bar], scores[scores >= bar]
+                bar = np.partition(close[q, rows], len(rows) - k - 1)[len(rows) - k - 1]
+                slack = _SLACK * largest * np.sqrt((asked[q] ** 2).sum()) + 1e-300
+                if np.isfinite(bar - slack):
+                    rows = rows[close[q, rows] >= bar - slack]
+            scores = (vectors[rows] * asked[q]).sum(axis=1)
             pool = []
             for r, s in zip(rows.tolist(), scores.tolist(), strict=True):
                 some = ids[starts[r] : starts[r + 1]][: k + 1].tolist()

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from reviewminer.llm import multiindex
 from reviewminer.llm.bitsliced import exact_top
 from reviewminer.llm.multiindex import nearest_neighbours, traversed
 
@@ -49,6 +51,22 @@ def test_exact_top(spark, data):
     assert exact_top(few.limit(0)).collect() == []
 
 
+def test_a_list_is_read_once_for_its_queries(data, monkeypatch):
+    rng = np.random.default_rng(2)
+    data = np.concatenate([data, 1e-9 * rng.normal(size=(300, 8)).astype(np.float32) + data[8]]).astype(float)
+    built = multiindex._build(4)(pa.table({
+        "vec_id": range(len(data)), "v": data.tolist(), "dim": [8] * len(data), "block": [0] * len(data)
+    })).to_pylist()[0]
+    read, plain = [], multiindex._list_scores
+    monkeypatch.setattr(multiindex, "_list_scores", lambda *a: read.append(len(a[1])) or plain(*a))
+    asked = list(range(0, len(data), 20))
+    got = multiindex._search(20, 1.0)(built, asked, data[asked].tolist())
+    assert read == [len(asked)]
+    for q in asked:
+        scores = sorted((-float((data[q] * v).sum()), c) for c, v in enumerate(data) if c != q)[:20]
+        assert [(c, s) for a, c, s in got if a == q] == [(c, -s) for s, c in scores]
+
+
 def test_neighbours(spark, data):
     vectors = {i: v.astype(float) for i, v in enumerate(data)}
     want = brute(list(vectors), vectors, lambda a, b: float((a * b).sum()))
