@@ -4,7 +4,7 @@ import random
 import numpy as np
 import pytest
 
-from reviewminer.llm.bpe import Encoder, Merges, decoded, encoded, tokenizer_path
+from reviewminer.llm.bpe import Encoder, Merges, Plain, decoded, encoded, tokenizer_path
 from reviewminer.llm.queries import op12_bpe_round_trip
 from reviewminer.sources.tables import load
 
@@ -137,3 +137,29 @@ def test_nulls_repeats_long_texts_and_extra_columns(spark, library):
     assert {r.decoded for r in found if len(r.ids) == 2} == {"hello</w> there</w>"}
     assert decoded(encoded(docs.limit(0))).count() == 0
     assert decoded(encoded(docs).selectExpr("doc_id", "cast(null as array<int>) ids")).first().decoded == ""
+
+
+def test_plain_runs_are_merged_together_and_not_remembered(library):
+    draw = random.Random(11)
+    signs = ["a", "e", "st", "s", "t", "ve", "ll", "'", "''", ".", "!'", "é", "Œ", "Ÿ", "ß", "²", "¼", "7", "12", "Q", "\x01", "\x1f", "\x7f", "«", " ", "\t\n", "\x0b"]
+    texts = ["".join(draw.choice(signs) for _ in range(draw.randint(0, 40))) for _ in range(1500)] + ["", " ", "'", "'s", "l'", "x" * 64, "é" * 32, "'" * 64, "ab"]
+    fresh = Encoder()
+    found = fresh.encode([t.encode() for t in texts])
+    assert [f.tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in texts]
+    assert not any(len(run) <= 64 for run in fresh._runs.now)
+    odd = ["one ЖЖ two", "中", "", "a<|endoftext|>b <|endoftext|>", f"{'y' * 65} {'z' * 200}", "ЖЖ İ\xa0i"]
+    found = fresh.encode([t.encode() for t in odd])
+    assert [f.tolist() for f in found] == [library.encode(t, add_special_tokens=False).ids for t in odd]
+    assert {"ЖЖ".encode(), "中".encode()} <= set(fresh._runs.now) and b"one" not in fresh._runs.now
+
+
+def test_other_vocabularies_are_merged_without_the_plain_way(encoder):
+    assert Plain.serves(encoder.merges)
+    vocab = {"a": 0, "b": 1, "ab": 2}
+    assert not Plain.serves(Merges(vocab, [("a", "b")], ""))
+    swapped = dict(encoder.merges.ranks)
+    first, second = list(swapped)[:2]
+    table = object.__new__(Merges)
+    table.__dict__ |= encoder.merges.__dict__
+    table.ranks = swapped | {first: (0, swapped[second][1]), second: (1, swapped[first][1])}
+    assert not Plain.serves(table)
