@@ -132,7 +132,7 @@ def tfidf_scores(spark: SparkSession, d: str) -> DataFrame:
 
 
 def tfidf_top_terms(spark: SparkSession, d: str) -> DataFrame:
-    best = tfidf.top_terms(tfidf_scores(spark, d), TOP_TERMS)
+    best = tfidf.best_terms(tables.review_texts(spark, d), TOP_TERMS)
     return best.select("review_id", *_long("rank"), "term", "tf", "tfidf")
 
 

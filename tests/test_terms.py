@@ -110,3 +110,29 @@ def test_bow_vocabulary_stays_a_table_and_hot_words_are_split(spark, reviews_of,
     found = [r.features for r in bow.bow_vectors(df, vocab).collect()]
     assert len(found) == 120 and all(v.size == len(wanted) for v in found)
     assert sum(v[wanted["alpha"]] for v in found) == 90 and sum(v.numNonzeros() == 0 for v in found) == 30
+
+
+def test_best_terms_join_few_rows_and_equal_the_top_of_all_scores(spark, monkeypatch):
+    draw = random.Random(5)
+    common = [f"w{i}" for i in range(12)]
+    rows = [(draw.choice([None, 1, 2, i]), " ".join(draw.choice(common if draw.random() < 0.8 else [f"r{draw.randint(0, 60)}", "é", "r1"]) for _ in range(draw.randint(0, 40)))) for i in range(150)]
+    df = spark.createDataFrame([*rows, (7, None), (8, "the"), (9, "solo")], "review_id long, reviewText string")
+    for k in (1, 3):
+        expected = sorted(map(repr, tfidf.top_terms(tfidf.score(df, tfidf.build_index(df)), k).collect()))
+        for most, together in ((0, 7), (5, 50), (20, 1), (1000, 10**6)):
+            monkeypatch.setattr(tfidf, "TOGETHER", together)
+            assert sorted(map(repr, tfidf.best_terms(df, k, most=most).collect())) == expected
+    lists, index = word_lists(df), tfidf.build_index(df)
+    terms, known, bound = tfidf._frequent(index.frequencies, 1000)
+    joined = lists.mapInArrow(tfidf._candidates(terms, known, bound, 1), "review_id long, term string, tf long").count()
+    assert bound == 0 and joined < 0.3 * tfidf.review_terms(df).count()
+    assert tfidf.best_terms(df.limit(0), 3).collect() == []
+
+
+def test_frequencies_count_a_review_once_and_bound_the_rest(spark):
+    df = spark.createDataFrame([(1, "a1 a1 b1"), (2, "a1 c1"), (2, "a1 c1"), (None, "a1 d1")], "review_id long, reviewText string")
+    found = tfidf.frequencies(word_lists(df))
+    assert {(r.term, r.df) for r in found.collect()} == {("a1", 4), ("b1", 1), ("c1", 2), ("d1", 1)}
+    for most, names, most_left in ((0, set(), 4), (1, {"a1"}, 2), (3, {"a1", "c1"}, 1), (4, {"a1", "b1", "c1", "d1"}, 0)):
+        terms, df_of, bound = tfidf._frequent(found, most)
+        assert set(terms.to_pylist()) == names and bound == most_left and len(df_of) == len(names)
