@@ -106,7 +106,7 @@ def _build(group: pa.Table) -> pa.Table:
     group = group.sort_by("vec_id")
     ids = group["vec_id"].to_numpy().astype(np.int64)
     dim = group["dim"][0].as_py()
-    values = np.array(group["q"].to_pylist(), np.int64).reshape(len(ids), dim)
+    values = np.array(group["v"].to_pylist(), np.int64).reshape(len(ids), dim)
     slices = slices_of(values)
     shape = np.array(slices.shape, np.int64)
     return pa.table({
@@ -133,6 +133,5 @@ def exact_top(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the ids divisible by ``every``, candidates all other ids."""
     clean = clean_vectors(table, vector, key)
-    quantised = clean.select("vec_id", F.transform("v", lambda x: F.floor(x * scale)).alias("q"), "dim")
-    queries = quantised.where(F.col("vec_id") % every == 0).withColumnRenamed("q", "v")
-    return top_by_blocks(quantised, queries, _build, _search(k), "bigint", k)
+    quantised = clean.select("vec_id", F.transform("v", lambda x: F.floor(x.cast("double") * scale)).alias("v"), "dim")
+    return top_by_blocks(quantised, F.col("vec_id") % every == 0, _build, _search(k), "bigint", k)

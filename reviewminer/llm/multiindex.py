@@ -73,7 +73,8 @@ def _build(centroids: int):
     def build(group: pa.Table) -> pa.Table:
         ids = group["vec_id"].to_numpy().astype(np.int64)
         dim = group["dim"][0].as_py()
-        vectors = np.array(group["v"].to_pylist(), float).reshape(len(ids), dim)
+        flat = group["v"].combine_chunks().flatten().to_numpy()
+        kind, vectors = flat.dtype, flat.astype(float).reshape(len(ids), dim)
         distinct, entry = np.unique(vectors, axis=0, return_inverse=True)
         cut = (dim + 1) // 2
         books = [codebook(distinct[:, :cut], centroids), codebook(distinct[:, cut:], centroids)]
@@ -88,7 +89,7 @@ def _build(centroids: int):
         extra = b"".join(x.tobytes() for x in (head, sizes.astype(np.int64), starts.astype(np.int64), *books))
         return pa.table({
             "dim": pa.array([dim], pa.int32()), "block": pa.array([group["block"][0].as_py()], pa.int32()),
-            "ids": [ids[at].tobytes()], "index": [distinct[order].tobytes()], "extra": [extra],
+            "ids": [ids[at].tobytes()], "index": [distinct[order].astype(kind).tobytes()], "extra": [extra],
         })
 
     return build
@@ -111,7 +112,8 @@ def _search(k: int, share: float):
     def search(row: dict, query_ids: list[int], queries: list[list[float]]) -> list[tuple]:
         ids, dim, extra = np.frombuffer(row["ids"], np.int64), row["dim"], row["extra"]
         n, ka, kb, cut = np.frombuffer(extra, np.int64, 4).tolist()
-        vectors = np.frombuffer(row["index"], float).reshape(n, dim)
+        kind = np.dtype(f"f{len(memoryview(row['index'])) // (n * dim)}")  # floats that come as such are kept so
+        vectors = np.frombuffer(row["index"], kind).astype(float).reshape(n, dim)
         sizes = np.frombuffer(extra, np.int64, ka * kb, 32)
         starts = np.frombuffer(extra, np.int64, n + 1, 32 + 8 * ka * kb)
         books = np.frombuffer(extra, float, -1, 32 + 8 * (ka * kb + n + 1))
@@ -150,5 +152,4 @@ def nearest_neighbours(
 ) -> DataFrame:
     """(query_id, rank, vec_id, score): queries are the ids divisible by ``every``, candidates all other ids."""
     clean = clean_vectors(table, vector, key, lambda v: F.exists(v, lambda x: x != 0))
-    queries = clean.where(F.col("vec_id") % every == 0)
-    return top_by_blocks(clean, queries, _build(centroids), _search(k, share), "double", k)
+    return top_by_blocks(clean, F.col("vec_id") % every == 0, _build(centroids), _search(k, share), "double", k)

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from reviewminer.llm import multiindex
+from reviewminer.llm import multiindex, vectors
 from reviewminer.llm.bitsliced import exact_top
 from reviewminer.llm.multiindex import nearest_neighbours, traversed
 
@@ -85,3 +85,44 @@ def test_pairs_come_by_falling_sum():
     pairs = traversed(a, b, sizes, 30)
     sums = [a[i] + b[j] for i, j in pairs]
     assert len(set(pairs)) == 30 and sums == sorted(sums, reverse=True)
+
+
+def shuffle_files(spark):
+    found = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+    return {f.getName(): f.length() for f in map(found.apply, range(found.size())) if f.getName().startswith("shuffle")}
+
+
+@pytest.mark.parametrize("query_rows", [4, 45])
+def test_indexes_are_not_copied_for_blocks_of_queries(spark, query_rows, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST_QUERIES", query_rows, raising=False)
+    rng = np.random.default_rng(5)
+    data = rng.normal(size=(900, 32)).astype(np.float32)
+    df = spark.createDataFrame([(i, v.tolist(), 0, "x") for i, v in enumerate(data)], KIND)
+    real = vectors.top_by_blocks
+    with monkeypatch.context() as patched:
+        patched.setattr(multiindex, "top_by_blocks", lambda *a: real(*a, rows=100, query_rows=query_rows))
+        before = shuffle_files(spark)
+        rows = nearest_neighbours(df, share=1.0).collect()
+    size = sum(n for name, n in shuffle_files(spark).items() if name not in before)
+    want = brute(range(900), data.astype(float), lambda a, b: float((a * b).sum()))
+    assert {(r.query_id, r.rank, r.vec_id) for r in rows} == {(q, n, c) for q, best in want.items() for n, (c, _) in enumerate(best, 1)}
+    assert size < 2 * data.nbytes
+
+
+def test_doubles_and_odd_lengths_are_searched_with_their_own(spark):
+    rows = [(i, [float(i), 1.0 / 3 + i][: 1 + i % 2], 0, "x") for i in range(60)]
+    kind = KIND.replace("float", "double")
+    got = found(nearest_neighbours(spark.createDataFrame(rows, kind), share=1.0))
+    vectors_of = {i: np.array(v) for i, v, _, _ in rows if any(v)}
+    for q, best in got.items():
+        fits = [i for i, v in vectors_of.items() if len(v) == len(vectors_of[q]) and i != q]
+        assert best == sorted(((i, float((vectors_of[i] * vectors_of[q]).sum())) for i in fits), key=lambda b: (-b[1], b[0]))[:20]
+    assert got.keys() == {20, 40}
+
+
+def test_the_best_of_several_parts_are_kept():
+    query, ids = np.array([2, 1, 2, 1, 2, 1]), np.array([5, 4, 3, 2, 1, 0])
+    score = np.array([1.0, np.nan, 1.0, 7.0, 0.0, np.inf])
+    kept = vectors._kept(query, ids, score, 2)
+    assert [c.tolist() for c in kept[:2]] == [[1, 1, 2, 2], [4, 0, 3, 5]]
+    assert [c.tolist() for c in vectors._kept(*(c[:0] for c in (query, ids, score)), 2)] == [[], [], []]
