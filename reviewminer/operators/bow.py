@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.wordlists import STOPWORDS
-from ..session import fresh_path, stored
+from ..session import discard, fresh_path, stored
 from .ranking import with_positions
 from .ridge import SMALL, ridge
 from .skew import join_hot_keys
@@ -129,9 +129,11 @@ def bow_models(
     counts = lists.select("grp", F.inline("words")).groupBy("grp", F.col("term").alias("word"))
     counts = counts.agg(F.sum("tf").alias("n"), F.count(F.lit(1)).alias("held")).where(F.col("n") >= min_count)
     vocab = stored(with_positions(counts, "grp", F.desc("n"), "word"), "vocabulary")
+    discard(vocab)
     none = F.array().cast("array<struct<pos:bigint,tf:bigint>>")
     rows = _labelled(lists, rated, default).join(_placed(lists, vocab), "row", "left")
     rows = stored(rows.withColumn("cells", F.coalesce("cells", none)), "bow-rows")
+    discard(rows, lists)
     found = ridge(rows, vocab.select("pos", "grp", "held"), reg_param, max_iter)
     return vocab.join(found, "pos").select(F.col("grp.value").alias("group"), "word", "n", "coef")
 

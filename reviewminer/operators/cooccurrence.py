@@ -21,13 +21,13 @@ from pyspark.sql import functions as F
 
 from ..session import stored
 from .bow import vocabulary
-from .ridge import SMALL
 from .skew import join_hot_keys
 
 CONTEXTS = 1024
 WINDOW = 5
 MIN_COUNT = 10
 SIZE = 50
+SMALL = 1_000_000  # words whose table is broadcast
 MIN_HOT = 100_000
 _LISTS = 4000  # lists whose pairs are counted together
 _CHUNK = 2048  # rows made dense together

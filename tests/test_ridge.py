@@ -120,3 +120,24 @@ def test_repeated_ratings_count_alike_in_tasks_and_joins(reviews_of, monkeypatch
         monkeypatch.setattr(ridge, "DENSE", most)
         found.append({r.word: r.coef for r in bow.bow_regression(df.drop("overall"), rated, max_iter=3).collect()})
     assert found[0] == pytest.approx(found[1], abs=1e-9) and len(found[0]) == 4
+
+
+def test_directions_reach_the_tasks_without_the_driver(spark, monkeypatch):
+    """Also with several spans, blocks of few cells, counts that no short float holds, and rows without cells."""
+    rng = np.random.default_rng(12)
+    group = lambda p: None if p >= 18 else p // 6 if p < 12 else p % 2
+    kinds = [[p for p in range(20) if group(p) == g] for g in (0, 1, None)]
+    cells = [[(int(p), 0.1 * int(rng.integers(1, 9))) for p in kinds[i % 3] if rng.random() < 0.6] for i in range(90)]
+    rows = spark.createDataFrame([((0, 1, None)[i % 3], float(rng.integers(1, 6)), c or None, 1 + i % 4, i) for i, c in enumerate(cells)],
+                                 "value int, label double, cells array<struct<pos: long, tf: double>>, copies long, row long")
+    rows = rows.select(F.struct("value").alias("grp"), "label", "cells", "copies", "row").withColumn("again", F.explode(F.sequence(F.lit(1), "copies"))).drop("again")
+    features = spark.createDataFrame([(p, group(p), 60) for p in range(20)], "pos long, value int, held long").select("pos", F.struct("value").alias("grp"), "held")
+    for name, value in {"SPAN": 4, "BLOCK": 5}.items():
+        monkeypatch.setattr(ridge, name, value, raising=False)
+    monkeypatch.setattr(type(rows), "toPandas", lambda df: pytest.fail(f"{df} comes to the driver"))
+    found = []
+    for most in (ridge.DENSE, 0):
+        monkeypatch.setattr(ridge, "DENSE", most)
+        found.append({r.pos: r.coef for r in ridge.ridge(rows, features, 0.1, 2).collect()})
+    assert found[0].keys() == found[1].keys() == set(range(20)) and found[0] == pytest.approx(found[1], abs=1e-9)
+    assert any(found[0].values())
