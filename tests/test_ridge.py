@@ -141,3 +141,21 @@ def test_directions_reach_the_tasks_without_the_driver(spark, monkeypatch):
         found.append({r.pos: r.coef for r in ridge.ridge(rows, features, 0.1, 2).collect()})
     assert found[0].keys() == found[1].keys() == set(range(20)) and found[0] == pytest.approx(found[1], abs=1e-9)
     assert any(found[0].values())
+
+
+def test_words_are_looked_up_beside_the_lists(spark, reviews_of, monkeypatch):
+    """Several spans and blocks give the joined cells; equal words of two groups, and unknown ones, are told apart."""
+    df = reviews_of(texts(13, 80, [*WORDS, "größe", "été"]) + [(None, 1), ("", 2), ("sound unknown", 3)])
+    df = df.withColumn("grp", F.struct(F.when(F.col("review_id") % 3 > 0, F.col("review_id") % 3).alias("value")))
+    lists = word_lists(df, keep=["grp"]).withColumn("words", bow._histogram(F.col("words"))).withColumn("row", F.col("review_id").cast("long"))
+    counts = lists.select("grp", F.inline("words")).groupBy("grp", F.col("term").alias("word")).agg(F.sum("tf").alias("n"), F.count("tf").alias("held"))
+    vocab = bow.with_positions(counts.where("n > 1"), "grp", F.desc("n"), "word")
+    sent = []
+    monkeypatch.setattr(bow.F, "broadcast", lambda table: sent.append(table.count()) or table)
+    found = []
+    for small, span, block in ((10**6, 262_144, 10**6), (10**6, 4, 5), (0, 4, 5)):
+        for name, value in {"SMALL": small, "SPAN": span, "BLOCK": block}.items():
+            monkeypatch.setattr(bow, name, value, raising=False)
+        found.append({r.row: sorted(map(tuple, r.cells)) for r in bow._placed(lists, vocab).collect()})
+        assert max(sent, default=0) <= 3 or small == 0
+    assert found[0] == found[1] == found[2] and len(found[0]) > 60
